@@ -26,24 +26,27 @@ def category_counts(
     )
 
 
-def place_summary(businesses: DataFrame, key: str, category: str = "category") -> DataFrame:
+def business_cells(businesses: DataFrame, key: str, category: str = "category") -> DataFrame:
+    """One row per (place, category): the only pass over the businesses for both count tables."""
+    return businesses.groupBy(key, category).agg(
+        F.count(F.lit(1)).alias("total_count"),
+        F.count_if(F.col("status") == "active").alias("active_count"),
+        F.min("start_date").alias("earliest_start"),
+        F.max("start_date").alias("latest_start"),
+    )
+
+
+def place_summary(cells: DataFrame, key: str, category: str = "category") -> DataFrame:
     """Totals, active rows, distinct categories, first and last start per place.
 
-    Counting (place, category) first makes the distinct count a plain count and
-    leaves one small second shuffle.
+    The cells already hold each category once, so the distinct count is a plain count.
     """
-    cells = businesses.groupBy(key, category).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("status") == "active").alias("a"),
-        F.min("start_date").alias("first"),
-        F.max("start_date").alias("last"),
-    )
     return cells.groupBy(key).agg(
-        F.sum("n").alias("total_count"),
-        F.sum("a").alias("active_count"),
+        F.sum("total_count").alias("total_count"),
+        F.sum("active_count").alias("active_count"),
         F.count(category).alias("category_count"),
-        F.min("first").alias("earliest_start"),
-        F.max("last").alias("latest_start"),
+        F.min("earliest_start").alias("earliest_start"),
+        F.max("latest_start").alias("latest_start"),
     )
 
 

@@ -17,7 +17,7 @@ from civicscope.operators.relations import (
     row_of,
     salted_join,
     settled,
-    top_n,
+    with_row,
 )
 
 
@@ -35,25 +35,22 @@ def value_positions(
     """Per distinct value of a metric: its ties, the rows below it and all known rows.
 
     Equal values are counted first, so a value held by a third of the rows is one
-    row from here on.  Distinct values go to buckets between sampled boundaries;
-    bucket totals give each bucket its start, and a window inside the bucket does
-    the rest.  The sample is the distinct values with the smallest hashes, a fixed
-    function of the data, so a recomputed task finds the same boundaries.
+    row from here on.  Distinct values go to buckets between approximate quantiles
+    (mergeable sketches, at most ``buckets`` numbers per metric); bucket totals give
+    each bucket its start, and a window inside the bucket does the rest.  The result
+    is exact for any boundaries; the placed values are settled, so both readers see
+    the same ones.
     """
     known = long.filter(F.col(value).isNotNull())
     counts = known.groupBy(metric, value).agg(F.count(F.lit(1)).alias("ties"))
-    per_bound = 8
-    sample = top_n(counts, [metric], [F.xxhash64(value), F.col(value)], buckets * per_bound)
-    bounds = sample.groupBy(metric).agg(F.sort_array(F.collect_list(value)).alias("_values"))
-    bounds = bounds.select(
-        metric,
-        F.filter("_values", lambda v, i: i % per_bound == per_bound - 1).alias("_bounds"),
-    )
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = counts.groupBy(metric).agg(F.percentile_approx(value, shares, 10_000).alias("_bounds"))
     table = bounds.agg(F.map_from_entries(F.collect_list(F.struct(metric, "_bounds"))).alias("b"))
     placed = counts.withColumn("_bounds", F.element_at(row_of(table)["b"], F.col(metric)))
     placed = placed.withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
+    placed = settled(placed)
 
     totals = placed.groupBy(metric, "_bucket").agg(F.sum("ties").alias("_rows"))
     before = W.partitionBy(metric).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -64,7 +61,7 @@ def value_positions(
         F.sum("_rows").over(W.partitionBy(metric)).alias("known"),
     )
     inside = W.partitionBy(metric, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    # One row per metric and bucket: at most metrics * (buckets + 1) rows.
+    # One row per metric and bucket: at most metrics * buckets rows.
     return placed.join(F.broadcast(totals), [metric, "_bucket"]).select(
         metric,
         value,
@@ -113,38 +110,30 @@ def percentiles(
 
 
 def percent_ranks(
-    df: DataFrame, ids: Sequence[str], metrics: Sequence[str], null_policy: str = "last"
+    df: DataFrame, ids: Sequence[str], metrics: Mapping[str, str], null_policy: str = "last"
 ) -> DataFrame:
-    """Wide percent ranks, ascending: (rank - 1) / (rows - 1).
+    """Add ascending percent ranks, (rank - 1) / (rows - 1), as metric -> new column.
 
     ``null_policy='last'`` ranks missing values after all known ones and counts them
     as rows; ``'neutral'`` ranks known values only and leaves missing ones NULL.
     """
     if null_policy not in ("last", "neutral"):
         raise ValueError("null_policy must be 'last' or 'neutral'")
-    ranked = rank_long(to_long(df, ids, metrics), ids, descending=False)
-    sizes = to_long(df, ids, metrics).groupBy("metric").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("known")
-    )
-    table = row_of(
-        sizes.agg(
-            F.map_from_entries(F.collect_list(F.struct("metric", F.struct("rows", "known")))).alias("m")
-        )
-    )["m"]
-
-    wide = df.select(*ids).join(
-        ranked.groupBy(*ids).pivot("metric", list(metrics)).agg(F.first("rank")), list(ids), "left"
+    ranked = rank_long(to_long(df, ids, list(metrics)), ids, descending=False)
+    wide = ranked.groupBy(*ids).agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("rank"))).alias(name) for m, name in metrics.items()]
     )
-    wide = wide.withColumn("_sizes", table)
+    sizes = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(m).alias(m) for m in metrics])
+    joined = with_row(df.join(wide, list(ids), "left"), sizes, "_sizes")
 
-    def score(name: str) -> Column:
-        size = F.col("_sizes")[F.lit(name)]
-        rows = size["rows"] if null_policy == "last" else size["known"]
-        missing = size["known"] if null_policy == "last" else F.lit(None).cast("bigint")
+    def share(metric: str, name: str) -> Column:
+        known = F.col("_sizes")[metric]
+        rows = F.col("_sizes")["rows"] if null_policy == "last" else known
+        missing = known if null_policy == "last" else F.lit(None).cast("bigint")
         behind = F.coalesce(F.col(name).cast("bigint") - 1, missing)
         return F.when(rows > 1, behind / (rows - 1)).when(behind.isNotNull(), F.lit(0.0))
 
-    return wide.select(*ids, *[score(m).alias(m) for m in metrics])
+    return joined.select(*df.columns, *[share(m, n).alias(n) for m, n in metrics.items()])
 
 
 def ranking(

@@ -137,14 +137,12 @@ def momentum(
     changes = two_year_change(long, key, previous_year, current_year, columns=columns)
     changes = settled(having_key_in(changes, universe, on=key))
     names = list(columns.values())
-    shares = percent_ranks(changes, [key], names, null_policy)
+    ranked = percent_ranks(changes, [key], {n: f"_{n}" for n in names}, null_policy)
     score = reduce(
         lambda a, b: a + b,
-        [F.coalesce(F.col(f"s.{n}") * F.lit(points), F.lit(points / 2)) for n in names],
-    )
-    return changes.alias("c").join(shares.alias("s"), key).select(
-        F.col(key), round_half_up(score, 1).alias("momentum_score"), *[F.col(f"c.{n}") for n in names]
+        [F.coalesce(F.col(f"_{n}") * F.lit(points), F.lit(points / 2)) for n in names],
     )
+    return ranked.select(key, round_half_up(score, 1).alias("momentum_score"), *names)
 
 
 def momentum_by_group(

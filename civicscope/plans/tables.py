@@ -26,6 +26,7 @@ from civicscope.operators.relations import (
     column_or,
     complete_mapping,
     find_column,
+    settled,
     typed_nulls,
 )
 from civicscope.operators.trends import momentum, momentum_by_group, yearly_series
@@ -314,12 +315,28 @@ SOURCES = [
 ]
 
 
+# Aggregates read by several tables.
+SHARED = [
+    "business_cells",
+    "neighborhood_profile",
+    "momentum_scores",
+    "business_age_stats",
+    "business_age_by_area",
+]
+
+
+def settle_shared(name: str, df: DataFrame) -> DataFrame:
+    """Checkpoint the shared aggregates, leave other tables lazy."""
+    return settled(df) if name in SHARED else df
+
+
 class Tables:
     """The job graph: each table is planned on first use and only once.
 
-    ``source`` gives a source table by name, or None (``dict.get`` will do).  Without
-    ``store`` everything stays one lazy plan.  With it, a table is written when first
-    used and read back, so later tables start from files.
+    ``source`` gives a source table by name, or None (``dict.get`` will do).  ``store``
+    sees every finished table and returns the frame later tables read.  The default
+    settles the aggregates that several tables share, so the business and civic rows
+    are scanned once; ``files.parquet_store`` writes every table; None keeps one plan.
     """
 
     def __init__(
@@ -330,7 +347,7 @@ class Tables:
         current_year: int,
         null_policy: str = "last",
         first_year: int = 2015,
-        store: Callable[[str, DataFrame], DataFrame] | None = None,
+        store: Callable[[str, DataFrame], DataFrame] | None = settle_shared,
     ) -> None:
         self._source = source
         self.as_of = as_date(as_of)
@@ -345,6 +362,7 @@ class Tables:
         "zip_to_neighborhood",
         "businesses",
         "demographics",
+        "business_cells",
         "business_by_zip",
         "business_summary",
         "demographics_by_zip",
@@ -398,13 +416,17 @@ class Tables:
     def _zip_to_neighborhood(self):
         return self["names"].select(KEY, "neighborhood")
 
-    def _business_by_zip(self):
+    def _business_cells(self):
         rows = self.get("businesses")
-        return None if rows is None else counts.category_counts(rows, [KEY, "category"])
+        return None if rows is None else counts.business_cells(rows, KEY)
+
+    def _business_by_zip(self):
+        cells = self.get("business_cells")
+        return None if cells is None else cells.select(KEY, "category", "total_count", "active_count")
 
     def _business_summary(self):
-        rows = self.get("businesses")
-        return None if rows is None else counts.place_summary(rows, KEY)
+        cells = self.get("business_cells")
+        return None if cells is None else counts.place_summary(cells, KEY)
 
     def _demographics_by_zip(self):
         rows = self.get("demographics")

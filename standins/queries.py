@@ -64,12 +64,12 @@ def area_pairs(d: Domain) -> DataFrame:
 
 @query
 def category_counts(d):
-    return d.tables["business_by_zip"]
+    return counts.category_counts(d.businesses, [KEY, "category"])
 
 
 @query
 def place_summary(d):
-    return d.tables["business_summary"]
+    return counts.place_summary(counts.business_cells(d.businesses, KEY), KEY)
 
 
 @query
@@ -199,7 +199,7 @@ def demographics_table(d):
 
 @query
 def neighborhood_profile(d):
-    return d.tables["neighborhood_profile"]
+    return d.job_graph(store=None)["neighborhood_profile"]
 
 
 @query
@@ -230,22 +230,22 @@ def monthly_trend(d):
 
 @query
 def age_by_place(d):
-    return d.tables["business_age_stats"]
+    return d.job_graph(store=None)["business_age_stats"]
 
 
 @query
 def age_by_area(d):
-    return d.tables["business_age_by_area"]
+    return d.job_graph(store=None)["business_age_by_area"]
 
 
 @query
 def momentum(d):
-    return d.tables["momentum_scores"]
+    return d.job_graph(store=None)["momentum_scores"]
 
 
 @query
 def momentum_neutral(d):
-    return d.job_graph(null_policy="neutral")["momentum_scores"]
+    return d.job_graph(None, "neutral")["momentum_scores"]
 
 
 @query

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicscope.plans.answers import Answers
-from civicscope.plans.tables import SOURCES, Tables, businesses, demographics
+from civicscope.plans.tables import SOURCES, Tables, businesses, demographics, settle_shared
 
 AS_OF = "2001-08-01"
 PREVIOUS_YEAR, CURRENT_YEAR = 1999, 2000
@@ -48,6 +48,21 @@ WORDS = [
 ]
 
 
+# Schemas of the driver tables; giving them spares a look into the files before planning.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def text(column: Column) -> Column:
     return column.cast("string")
 
@@ -71,7 +86,8 @@ class Domain:
 
     def read(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            reader = self.spark.read.schema(SCHEMAS[name])
+            self._read[name] = reader.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
     # ------------------------------------------------------------ places
@@ -361,7 +377,7 @@ class Domain:
             return demographics(self.census)
         return getattr(self, name) if name in SOURCES else None
 
-    def job_graph(self, store=None, null_policy: str = "last") -> Tables:
+    def job_graph(self, store=settle_shared, null_policy: str = "last") -> Tables:
         return Tables(self.source, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, null_policy, FIRST_YEAR, store)
 
     @cached_property
