@@ -73,7 +73,7 @@ def number_text(value: Column) -> Column:
 
 def fixed_text(value: Column, digits: int = 0) -> Column:
     """Fixed-point text, rounded half-to-even like a ``.0f`` / ``.1f`` format."""
-    return F.format_string(f"%.{digits}f", round_half_even(value, digits))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", round_half_even(value, digits)))
 
 
 def grouped_text(value: Column, digits: int = 0, prefix: str = "") -> Column:
@@ -97,9 +97,8 @@ def signed_delta_text(
 
 def signed_percent_text(value: Column, suffix: str = "") -> Column:
     """``+12%`` style text of a percentage, NULL stays NULL."""
-    whole = round_half_even(value, 0)
-    sign = F.when((value > 0) | (value == 0), F.lit("+")).otherwise(F.lit("-"))
-    return F.concat(sign, F.format_string("%.0f", F.abs(whole)), F.lit("%" + suffix))
+    sign = F.when(value >= 0, F.lit("+")).otherwise(F.lit("-"))
+    return F.concat(sign, fixed_text(F.abs(value)), F.lit("%" + suffix))
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
