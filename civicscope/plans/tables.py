@@ -26,6 +26,7 @@ from civicscope.operators.relations import (
     column_or,
     complete_mapping,
     find_column,
+    salted_join,
     settled,
     typed_nulls,
 )
@@ -215,7 +216,7 @@ def neighborhood_profile(
     )
     requests = None
     if civic_311 is not None and plans is not None:
-        requests = plans.join(plan_requests(civic_311), "comm_plan_name")
+        requests = salted_join(plans, plan_requests(civic_311), ["comm_plan_name"], [KEY])
     return attach(rows, requests, {"median_311_days": "double", "total_311_requests": "bigint"})
 
 
