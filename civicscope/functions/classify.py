@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,17 +18,27 @@ def lookup(table: Mapping[str, str], key: Column) -> Column:
 
 
 def keyword_category(text: Column, rules: Rules = fixed.KEYWORDS) -> Column:
-    """First rule with a word contained in the lower-cased text; NULL when none."""
-    lowered = F.lower(text)
+    """First rule with a word contained in the lower-cased text; NULL when none.
+
+    The rules are one literal array walked per row: the text is lowered once and the
+    walk stops testing at the first hit.  A chain of conditions would become one
+    generated method too long for the JVM to compile.
+    """
+    table = F.array(
+        *[
+            F.struct(F.array(*[F.lit(w) for w in words]).alias("words"), F.lit(category).alias("category"))
+            for words, category in rules
+        ]
+    )
+
+    def first_hit(lowered: Column) -> Column:
+        def step(found: Column, rule: Column) -> Column:
+            hit = F.exists(rule["words"], lambda word: F.contains(lowered, word))
+            return F.coalesce(found, F.when(hit, rule["category"]))
 
-    def hits(words: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+        return F.aggregate(table, F.lit(None).cast("string"), step)
 
-    (first_words, first), *rest = rules
-    chain = F.when(hits(first_words), first)
-    for words, category in rest:
-        chain = chain.when(hits(words), category)
-    return chain
+    return F.get(F.transform(F.array(F.lower(text)), first_hit), F.lit(0))
 
 
 def code_category(

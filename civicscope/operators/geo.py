@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicscope.operators.relations import collect_top, salted_join, settled, top_n
+from civicscope.operators.relations import collect_top, hot_keys, settled, skew_join, top_n
 
 # Metres per degree used by the local projection.
 METRES_PER_DEGREE = 111320.0
@@ -131,7 +131,7 @@ def nearby_top(
     by: Sequence[str] = (),
     reach: float = NEARBY_DEG,
     n: int = 20,
-    salts: int = 8,
+    salts: int = 32,
 ) -> DataFrame:
     """For every place, its n best neighbours by score (self included), exactly.
 
@@ -196,7 +196,14 @@ def nearby_top(
         | (F.col("score") > F.col("_mark"))
         | ((F.col("score") == F.col("_mark")) & (F.col(key) < F.col("_mark_key")))
     )
-    ring = salted_join(eligible, wanted, cell, [key], salts).filter(beats)
+    hot = hot_keys(located, cell)
+    # No centre of the cell is nearer than the cell's edge (a hair is left for rounding).
+    reachable = F.lit(True)
+    for value, row in (("lat", "to_row"), ("lng", "to_col")):
+        low = F.col(row) * F.lit(step) - F.lit(reach + 1e-6)
+        high = (F.col(row) + 1) * F.lit(step) + F.lit(reach + 1e-6)
+        reachable = reachable & F.col(value).between(low, high)
+    ring = skew_join(eligible, wanted, cell, [key], hot, salts).filter(beats & reachable)
     ring = ring.drop("cell_row", "cell_col", "_mark", "_mark_key")
     ring = ring.withColumnsRenamed({"to_row": "cell_row", "to_col": "cell_col"})
 
@@ -205,7 +212,7 @@ def nearby_top(
         {key: "near_key", "lat": "near_lat", "lng": "near_lng", "score": "near_score"}
     )
     centres = located.drop("score")
-    pairs = salted_join(centres, candidates, cell, [key], salts).filter(
+    pairs = skew_join(centres, candidates, cell, [key], hot, salts).filter(
         near_centre(F.col("near_lat"), F.col("near_lng"), F.col("lat"), F.col("lng"), reach)
     )
     order = [F.col("near_score").desc_nulls_last(), F.col("near_key").asc()]

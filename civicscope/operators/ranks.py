@@ -15,8 +15,8 @@ from civicscope.operators.relations import (
     ordered_head,
     require_metric,
     row_of,
-    salted_join,
     settled,
+    skew_join,
     with_row,
 )
 
@@ -77,12 +77,13 @@ def rank_long(
     descending: Column | bool,
     metric: str = "metric",
     value: str = "value",
-    salts: int = 16,
+    salts: int = 32,
 ) -> DataFrame:
     """Rows with a known value plus ``rank`` (ties share it) and ``of`` (known rows)."""
     known = settled(long.filter(F.col(value).isNotNull()))
     positions = value_positions(known, metric, value)
-    ranked = salted_join(known, positions, [metric, value], ids, salts)
+    hot = positions.filter((F.col("ties") > 10_000) & (F.col("ties") * 1000 > F.col("known")))
+    ranked = skew_join(known, positions, [metric, value], ids, hot.select(metric, value), salts)
     down = F.lit(descending) if isinstance(descending, bool) else descending
     rank = F.when(down, F.col("known") - F.col("below") - F.col("ties")).otherwise(F.col("below"))
     return ranked.select(

@@ -177,23 +177,38 @@ def collect_top(
 # ---------------------------------------------------------------- joins
 
 
-def salted_join(
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = 1000, floor: int = 10_000) -> DataFrame:
+    """Keys holding more than one in ``share`` of all rows (and more than ``floor`` rows).
+
+    By counting there are fewer than ``share`` of them, so they may be broadcast.
+    """
+    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("t")).select("t").scalar()
+    return sizes.filter((F.col("_n") > floor) & (F.col("_n") * share > total)).select(*on)
+
+
+def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
-    salts: int = 16,
+    hot: DataFrame,
+    salts: int = 32,
     how: str = "inner",
 ) -> DataFrame:
-    """Equi-join for a skewed left side and a right side with few rows per key.
+    """Equi-join for a left side with hot keys and a right side with few rows per key.
 
-    Left rows of one key are spread over ``salts`` tasks by a hash of ``spread``;
-    right rows are copied once per salt, so a hot key never lands in one task.
+    Left rows of a hot key are spread over ``salts`` tasks by a hash of ``spread``
+    and the right rows of that key copied as often; other keys join as they are.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    copies = copies.withColumn("_salt", F.col("_salt").cast("bigint"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    bucket = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    salted = left.join(flag, list(on), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0))
+    )
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(flag, list(on), "left").withColumn("_salt", F.explode(every))
+    return salted.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")
 
 
 def merge_counts(

@@ -26,8 +26,9 @@ from civicscope.operators.relations import (
     column_or,
     complete_mapping,
     find_column,
-    salted_join,
+    hot_keys,
     settled,
+    skew_join,
     typed_nulls,
 )
 from civicscope.operators.trends import momentum, momentum_by_group, yearly_series
@@ -216,7 +217,8 @@ def neighborhood_profile(
     )
     requests = None
     if civic_311 is not None and plans is not None:
-        requests = salted_join(plans, plan_requests(civic_311), ["comm_plan_name"], [KEY])
+        by_plan = ["comm_plan_name"]
+        requests = skew_join(plans, plan_requests(civic_311), by_plan, [KEY], hot_keys(plans, by_plan))
     return attach(rows, requests, {"median_311_days": "double", "total_311_requests": "bigint"})
 
 

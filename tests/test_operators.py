@@ -32,11 +32,16 @@ def test_latest_overall_and_per_key(spark):
     assert rows(relations.latest(data, "y", ["k"], F.col("n") > 0), "k", "y") == [("a", 1), ("b", 3)]
 
 
-def test_salted_join_equals_plain_join(spark):
-    big = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
-    small = spark.createDataFrame([(0, "x"), (1, "y")], "k bigint, v string")
-    salted = relations.salted_join(big, small, ["k"], ["id"])
-    assert rows(salted, "id", "v") == rows(big.join(small, "k"), "id", "v")
+def test_skew_join_equals_plain_join(spark):
+    big = spark.range(500).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 5).cast("bigint").alias("k"), "id")
+    small = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "k bigint, v string")
+    hot = relations.hot_keys(big, ["k"], share=3, floor=10)
+    assert rows(hot, "k") == [(0,)]
+    for how in ("inner", "left"):
+        joined = relations.skew_join(big, small, ["k"], ["id"], hot, salts=8, how=how)
+        assert sorted(map(str, joined.select("id", "v").collect())) == sorted(
+            map(str, big.join(small, "k", how).select("id", "v").collect()))
+    assert relations.hot_keys(big, ["k"]).count() == 0
 
 
 def test_metric_names_are_checked():
@@ -180,13 +185,14 @@ def random_places(spark, seed, n, spread):
 
 
 @pytest.mark.parametrize("seed,n,spread,keep", [(1, 400, 0.8, 5), (2, 150, 0.3, 20), (3, 60, 3.0, 3)])
-def test_nearby_top_equals_brute_force(spark, seed, n, spread, keep):
+def test_nearby_top_equals_brute_force(spark, monkeypatch, seed, n, spread, keep):
     data, frame = random_places(spark, seed, n, spread)
     want = set()
     for c, k, lat, lng, _ in data:
         near = [(-m, q) for d, q, y, x, m in data if d == c and abs(y - lat) <= 0.1 and abs(x - lng) <= 0.1]
         want |= {(c, k, i + 1, q, -m) for i, (m, q) in enumerate(sorted(near)[:keep])}
-    got = geo.nearby_top(frame, "k", "n", ["c"], 0.1, keep)
+    monkeypatch.setattr(geo, "hot_keys", lambda df, on: relations.hot_keys(df, on, share=20, floor=5))
+    got = geo.nearby_top(frame, "k", "n", ["c"], 0.1, keep, salts=4)
     assert {tuple(r) for r in got.select("c", "k", "position", "near_key", "n").collect()} == want
 
 
