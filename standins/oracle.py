@@ -617,8 +617,7 @@ BODY = {
     "rankings_display": """SELECT zip_code, neighborhood, population, median_income, active_count
         FROM t_profile WHERE population IS NOT NULL ORDER BY population DESC, zip_code LIMIT 30""",
     "area_rankings": """SELECT CAST(ROW_NUMBER() OVER (ORDER BY crime_count NULLS LAST, area) AS INTEGER) AS rank, area,
-        crime_count AS sort_value, population, median_income, active_count, CAST(NULL AS BIGINT) AS category_active,
-        CAST(NULL AS DOUBLE) AS category_per_1k, 'crime_count' AS sort_metric, CAST(NULL AS VARCHAR) AS category
+        crime_count AS sort_value, population, median_income, active_count, 'crime_count' AS sort_metric
         FROM t_area ORDER BY rank LIMIT 20""",
     "area_rankings_category": f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY c.per_1k DESC NULLS LAST, a.area) AS INTEGER) AS rank,
         a.area, {py('c.per_1k')} AS sort_value, a.population, a.median_income, a.active_count,

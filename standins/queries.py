@@ -298,7 +298,8 @@ def rankings_display(d):
 
 @query
 def area_rankings(d):
-    return d.answers.area_rankings("crime_count", sort_desc=False, limit=20)
+    ranked = d.answers.area_rankings("crime_count", sort_desc=False, limit=20)
+    return ranked.drop("category", "category_active", "category_per_1k")
 
 
 @query
