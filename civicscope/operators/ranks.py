@@ -29,12 +29,23 @@ def to_long(
     return wide.unpivot(list(ids), list(metrics), name, "value")
 
 
+def _bounds_below(value: str, buckets: int) -> Column:
+    """How many of the sorted ``_bounds`` are below the value, by halving steps."""
+    steps = [1 << i for i in reversed(range(buckets.bit_length() - 1))]
+
+    def take(found: Column, step: Column) -> Column:
+        below = F.get(F.col("_bounds"), found + step - 1) < F.col(value)
+        return found + F.when(below, step).otherwise(0)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), take)
+
+
 def value_positions(
     long: DataFrame, metric: str = "metric", value: str = "value", buckets: int = 128
 ) -> DataFrame:
     """Per distinct value of a metric: its ties, the rows below it and all known rows.
 
-    Equal values are counted first, so a value held by a third of the rows is one
+    ``buckets`` is a power of two.  Equal values are counted first, so a value held by a third of the rows is one
     row from here on.  Distinct values go to buckets between approximate quantiles
     (mergeable sketches, at most ``buckets`` numbers per metric); bucket totals give
     each bucket its start, and a window inside the bucket does the rest.  The result
@@ -47,10 +58,7 @@ def value_positions(
     bounds = counts.groupBy(metric).agg(F.percentile_approx(value, shares, 10_000).alias("_bounds"))
     table = bounds.agg(F.map_from_entries(F.collect_list(F.struct(metric, "_bounds"))).alias("b"))
     placed = counts.withColumn("_bounds", F.element_at(row_of(table)["b"], F.col(metric)))
-    placed = placed.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
-    placed = settled(placed)
+    placed = settled(placed.withColumn("_bucket", _bounds_below(value, buckets)).drop("_bounds"))
 
     totals = placed.groupBy(metric, "_bucket").agg(F.sum("ties").alias("_rows"))
     before = W.partitionBy(metric).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -61,11 +61,13 @@ class Answers:
 
     def filters(self) -> DataFrame:
         """(dimension, value) of everything one can filter by."""
+        # The name table and the completed mapping hold the profiled places and areas.
         tables = self.tables
+        names, mapping = tables["zip_to_neighborhood"], tables["zip_area"]
         sources = [
-            ("zip_code", tables.get("neighborhood_profile"), KEY),
+            ("zip_code", names, KEY),
             ("category", tables.get("business_by_zip"), "category"),
-            ("area", tables.get("area_profile"), "area"),
+            ("area", mapping.join(names, KEY, "left_semi"), "area"),
         ]
         parts = [
             df.select(F.lit(name).alias("dimension"), F.col(column).alias("value")).distinct()
@@ -79,7 +81,7 @@ class Answers:
 
     def place_options(self) -> DataFrame:
         """Place keys with their names, in key order."""
-        return self.tables["neighborhood_profile"].select(KEY, "neighborhood").orderBy(KEY)
+        return self.tables["zip_to_neighborhood"].select(KEY, "neighborhood").orderBy(KEY)
 
     def businesses(
         self,
@@ -312,7 +314,7 @@ class Answers:
         reproducible.
         """
         if layer not in LAYERS:
-            spark = self.tables["neighborhood_profile"].sparkSession
+            spark = self.tables["zip_to_neighborhood"].sparkSession
             return spark.createDataFrame([], "lat double, lng double")
         table, year = LAYERS[layer]
         rows = where_between(self.tables[table], year, year_min, year_max)

@@ -102,9 +102,9 @@ def businesses(
         day("start").alias("start_date"),
         day("created").alias("created_date"),
         day("expires").alias("expiration_date"),
-        activity_status(day("expires"), as_date(as_of)).alias("status"),
     )
-    return rows.filter(F.col(KEY).isNotNull()).dropDuplicates()
+    status = activity_status(F.col("expiration_date"), as_date(as_of))
+    return rows.filter(F.col(KEY).isNotNull()).withColumn("status", status).dropDuplicates()
 
 
 def demographics(raw: DataFrame) -> DataFrame:
@@ -509,4 +509,5 @@ class Tables:
 
     def _zip_centroids(self):
         raw = self.get("gazetteer")
-        return None if raw is None else centroids(raw, self["neighborhood_profile"].select(KEY))
+        # Every named place has a profile, so the names stand for the profiled places.
+        return None if raw is None else centroids(raw, self["zip_to_neighborhood"])

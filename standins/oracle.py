@@ -257,6 +257,9 @@ CTE = {
     ),
     "t_zip_trend": f"""SELECT zip_code, series, year, count, {yoy('zip_code, series')} FROM
         (SELECT zip_code, series, year, CAST(SUM(count) AS BIGINT) AS count FROM t_series GROUP BY ALL)""",
+    "t_area_trend": f"""SELECT area, series, year, count, {yoy('area, series')} FROM
+        (SELECT area, series, year, CAST(SUM(count) AS BIGINT) AS count
+         FROM t_series JOIN t_map USING (zip_code) GROUP BY ALL)""",
     "t_yb": yearly_change("t_formation", "new_businesses", "1e2", "biz_formation_yoy"),
     "t_yp": yearly_change("t_permits", "permit_count", "1e2", "permit_yoy"),
     "t_yc": yearly_change("t_crime", "count", "-1e2", "crime_yoy"),
@@ -547,6 +550,9 @@ BODY = {
         UNION ALL SELECT * FROM (VALUES ('status', 'active'), ('status', 'inactive'))""",
     "semi_filter": "SELECT zip_code, population, median_income FROM t_demo_zip",
     "anti_unmapped": "SELECT * FROM t_map",
+    "keys_in_any": """SELECT zip_code, neighborhood FROM t_names
+        WHERE zip_code IN (SELECT zip_code FROM t_solar WHERE year BETWEEN 2001 AND 2001)
+           OR zip_code IN (SELECT zip_code FROM t_plans)""",
     "weighted_mean_total": f"""SELECT area, {w_mean('median_rent')} AS median_rent
         FROM t_map JOIN t_demo USING (zip_code) GROUP BY area""",
     "weighted_mean_nonnull": """SELECT area, ROUND(SUM(CAST(median_rent AS DOUBLE) * population)
@@ -637,14 +643,29 @@ BODY = {
     "business_age": top_ages("t_age_zip", "zip_code"),
     "area_business_age": top_ages("t_age_area", "area"),
     "place_trends": "SELECT * FROM t_zip_trend",
-    "area_trends": f"""SELECT area, series, year, count, {yoy('area, series')} FROM
-        (SELECT area, series, year, CAST(SUM(count) AS BIGINT) AS count
-         FROM t_series JOIN t_map USING (zip_code) GROUP BY ALL)""",
+    "area_trends": "SELECT * FROM t_area_trend",
     "city_trends": f"""SELECT series, year, {py('count')} AS count, yoy_pct FROM
         (SELECT series, year, count, {yoy('series')} FROM (SELECT series, year,
          ROUND(SUM(count) * 1e0 / COUNT(DISTINCT zip_code), 1) AS count FROM t_series GROUP BY series, year))""",
     "latest_yoy": """SELECT zip_code, series, year, count, yoy_pct FROM (SELECT *, ROW_NUMBER() OVER (
         PARTITION BY zip_code, series ORDER BY year DESC) AS n FROM t_zip_trend) WHERE n = 1""",
+    "yoy_text": f"""SELECT area, series, CASE WHEN yoy_pct >= 0 THEN '+' ELSE '-' END
+        || {fixed_text('ABS(yoy_pct)')} || '% yoy' AS change FROM (SELECT *, ROW_NUMBER() OVER (
+        PARTITION BY area, series ORDER BY year DESC) AS n FROM t_area_trend) WHERE n = 1""",
+    "two_year_change": "SELECT zip_code, "
+    + ", ".join(
+        f"""CASE WHEN SUM(count) FILTER (WHERE series = '{s}' AND year = 1998) > 0 THEN ROUND({f} *
+        (COALESCE(SUM(count) FILTER (WHERE series = '{s}' AND year = 2000), 0)
+         - SUM(count) FILTER (WHERE series = '{s}' AND year = 1998))
+        / SUM(count) FILTER (WHERE series = '{s}' AND year = 1998), 1) + 0 END AS {n}"""
+        for s, n, f in [
+            ("business_formation", "biz_formation_yoy", "1e2"),
+            ("permits", "permit_yoy", "1e2"),
+            ("crime", "crime_yoy", "-1e2"),
+            ("solar", "solar_yoy", "1e2"),
+        ]
+    )
+    + " FROM t_series WHERE year IN (1998, 2000) GROUP BY zip_code HAVING SUM(count) > 0",
     "series_span": """SELECT zip_code, series, MIN(year) AS first_year, MAX(year) AS last_year
         FROM t_series GROUP BY zip_code, series""",
     "map_points": f"""SELECT * FROM (SELECT o_orderkey AS point_id, {point('o_orderkey', 'o_custkey')},
@@ -732,6 +753,9 @@ BODY = {
     "delta_text": """SELECT zip_code, CASE WHEN v >= 0 THEN '+' ELSE '-' END || '$'
         || format('{:,}', CAST(format('{:.0f}', ABS(v)) AS BIGINT)) || ' vs avg' AS income_delta
         FROM (SELECT zip_code, CAST(median_income AS DOUBLE) - avg_median_income AS v FROM t_profile, t_avg)""",
+    "value_text": """SELECT zip_code, COALESCE(format('{:,}', population), '—') AS population,
+        COALESCE('$' || format('{:,}', median_income), '—') AS median_income,
+        COALESCE(format('{:.1f}', pct_bachelors_plus), '—') AS pct_bachelors_plus FROM t_demo""",
     "head_to_head": "SELECT * FROM t_h2h",
     "area_head_to_head": "SELECT area_a, area_b, metric, value_a, value_b, "
     + py("1e2 * (value_a - value_b) / NULLIF(ABS(value_b), 0)")

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from civicscope.functions import fixed_values as fixed
 from civicscope.functions.classify import classify, code_category, keyword_category, lookup
 from civicscope.functions.numbers import (
+    grouped_text,
     round_half_up,
     share_percent,
     signed_delta_text,
+    signed_percent_text,
     weighted_mean,
 )
 from civicscope.functions.text import maturity, parse_date, postal_key, rank_badge
 from civicscope.operators import compare, counts, geo, trends
-from civicscope.operators.relations import complete_mapping, shared_folder, top_n, with_row
+from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
 from civicscope.plans.tables import KEY, as_date, centroids, demographics
 from civicscope.sources import files
@@ -87,6 +89,12 @@ def anti_unmapped(d):
     return complete_mapping(d.areas, d.names, KEY, "area")
 
 
+@query
+def keys_in_any(d):
+    """Places with solar installs in 2001 or service plans."""
+    return having_key_in(d.names, where_between(d.civic_solar, "year", 2001, 2001), d.plans, on=KEY)
+
+
 @query
 def weighted_mean_total(d):
     joined = d.tables["zip_area"].join(d.tables["demographics"], KEY)
@@ -366,6 +374,17 @@ def latest_yoy(d):
     return trends.latest_yoy(d.answers.zip_trends(), [KEY])
 
 
+@query
+def yoy_text(d):
+    newest = trends.latest_yoy(d.answers.area_trends(), ["area"])
+    return newest.select("area", "series", signed_percent_text(F.col("yoy_pct"), " yoy").alias("change"))
+
+
+@query
+def two_year_change(d):
+    return trends.two_year_change(d.tables["yearly_series"], KEY, 1998, 2000)
+
+
 @query
 def series_span(d):
     return trends.year_span(trends.series_totals(d.tables["yearly_series"], [KEY]), [KEY])
@@ -533,6 +552,16 @@ def delta_text(d):
     )
 
 
+@query
+def value_text(d):
+    return d.tables["demographics"].select(
+        KEY,
+        grouped_text(F.col("population")).alias("population"),
+        grouped_text(F.col("median_income"), 0, "$").alias("median_income"),
+        grouped_text(F.col("pct_bachelors_plus"), 1).alias("pct_bachelors_plus"),
+    )
+
+
 @query
 def head_to_head(d):
     return d.answers.compare_zips(place_pairs(d))
