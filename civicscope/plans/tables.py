@@ -17,7 +17,6 @@ from civicscope.functions.classify import classify
 from civicscope.functions.numbers import (
     per_thousand,
     round_half_up,
-    safe_ratio,
     weighted_mean,
 )
 from civicscope.functions.text import activity_status, estimate, parse_date, postal_key

@@ -23,7 +23,7 @@ from civicscope.functions.text import maturity, parse_date, postal_key, rank_bad
 from civicscope.operators import compare, counts, geo, trends
 from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
-from civicscope.plans.tables import KEY, as_date, centroids, demographics
+from civicscope.plans.tables import KEY, as_date, demographics
 from civicscope.sources import files
 from civicscope.streaming.incremental import load_new_files
 from standins.tables import AS_OF, Domain
