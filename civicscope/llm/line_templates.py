@@ -2,15 +2,16 @@
 
 A line is parsed to a leaf of a tree of fixed depth: its number of tokens, then its leading
 tokens; tokens are what stands between spaces, and one that holds a digit is a variable field.
-In a leaf with several different lines, a position keeps a token as constant when lines with
-that token make up at least half of the leaf (weighted by how often each line occurs; ties to
-the smallest token); other positions become variable.  A line whose tokens agree with at least
-``similarity`` of all its positions' constants takes the leaf's template, any other line is its
-own.  A template that occurs in several documents is dropped from all but the first of them
+In a leaf with several different lines the most frequent one (ties: the largest) seeds the
+leaf's template; positions where its members differ are variable.  A line whose tokens agree
+with the seed in at least ``similarity`` of all positions takes that template, any other line is
+its own.  A template that occurs in several documents is dropped from all but the first of them
 (smallest id), where all its lines stay.
 
-Shuffled are: keys of all lines (two hashes and the place), the text of the distinct lines, and
-once the documents for putting them together.  Hot lines are counted before they are shuffled.
+Written or shuffled are: keys of all lines (two hashes and the place), the text of distinct
+lines in leaves with several, and once the documents for putting them together.  Lines in other
+leaves are kept out of the text shuffle by a set of ``BITS`` hash values, which bounds its size.
+Hot lines are counted before they are shuffled.
 
 Defined cases: null text stays null and has no lines; blank lines are kept and never counted;
 rows with a null id are passed on as they are and not counted; repeated rows (same id and text)
@@ -23,11 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicscope.llm.frames import stored
+
 DEPTH = 4
 SIMILARITY = 0.8
 FIELD = "<*>"
 #: A token with a digit, as a pattern.
 VARIABLE = "[^ ]*[0-9][^ ]*"
+#: Size of the set of leaf hashes that is broadcast.
+BITS = 1 << 20
 
 
 def masked(line: Column) -> Column:
@@ -50,36 +55,38 @@ def document_lines(docs: DataFrame, id: str, text: str, depth: int) -> DataFrame
     )
 
 
-def line_templates(lines: DataFrame, similarity: float) -> DataFrame:
+def line_templates(lines: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
     """(leaf, own, general) of the lines that take their leaf's template."""
-    distinct = lines.filter(F.col("leaf").isNotNull()).groupBy("leaf", "own").agg(F.count("*").alias("n"), F.first("line").alias("line"))
-    several = lines.filter(F.col("leaf").isNotNull()).groupBy("leaf").agg(F.min("own").alias("_low"), F.max("own").alias("_high")).filter("_low <> _high").select("leaf")
-    tokens = distinct.join(several, "leaf", "left_semi").select("leaf", "own", "n", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
-    votes = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("votes"))
-    best = votes.groupBy("leaf", "at").agg(F.sum("votes").alias("all"), F.min(F.struct((-F.col("votes")).alias("less"), "token")).alias("best"))
-    constant = best.filter((-2 * F.col("best.less") >= F.col("all")) & (F.col("best.token") != FIELD)).select("leaf", "at", F.col("best.token").alias("token"))
-    agreed = tokens.join(constant.withColumn("same", F.lit(1)), ["leaf", "at", "token"], "left").groupBy("leaf", "own").agg(F.count("same").alias("same"), F.count("*").alias("of"))
-    return agreed.filter(F.col("same") >= F.lit(similarity) * F.col("of")).select("leaf", "own", F.lit(True).alias("general"))
+    several = stored(keys.filter(F.col("leaf").isNotNull()).groupBy("leaf").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("leaf"))
+    bit = F.col("leaf").bitwiseAND(F.lit(BITS - 1))
+    marked = lines.filter(F.col("leaf").isNotNull()).withColumn("bit", bit).join(F.broadcast(several.select(bit.alias("bit")).distinct()), "bit", "left_semi")
+    counted = marked.groupBy("leaf", "own", "line").agg(F.count("*").alias("n"))
+    distinct = stored(counted.join(several, "leaf", "left_semi"))
+    seeds = distinct.groupBy("leaf").agg(F.max(F.struct("n", "line")).alias("seed")).select("leaf", F.col("seed.line").alias("seed"))
+    pairs = distinct.join(seeds, "leaf").select("leaf", "own", F.split("line", " ", -1).alias("tokens"), F.split("seed", " ", -1).alias("seed"))
+    same = F.size(F.filter(F.zip_with("tokens", "seed", lambda x, y: x == y), lambda z: z))
+    return pairs.filter(same >= F.lit(similarity) * F.size("tokens")).select("leaf", "own", F.lit(True).alias("general"))
 
 
-def drop_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = 2) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """All rows of ``docs``, the text without recurring lines, and n_lines, n_dropped (null for null text or id)."""
     lines = document_lines(docs, id, text, depth)
-    general = line_templates(lines, similarity)
-    keys = lines.drop("line")
-    seen = keys.filter(F.col("leaf").isNotNull()).groupBy("leaf", "own", "_doc").agg(F.lit(1).alias("one"))
-    counted = seen.groupBy("leaf", "own").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.count("*").alias("n_docs"))
+    keys = stored(lines.drop("line"))
+    general = line_templates(lines, keys, similarity)
+    counted = keys.filter(F.col("leaf").isNotNull()).groupBy("leaf", "own").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"))
     counted = counted.join(general, ["leaf", "own"], "left").withColumn("key", F.when(F.col("general"), F.lit(None).cast("long")).otherwise(F.col("own")))
-    templates = counted.groupBy("leaf", "key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n_docs").alias("n_docs"))
-    recurring = templates.filter((F.col("first") != F.col("last")) & (F.col("n_docs") >= min_docs))
-    decided = counted.select("leaf", "own", "key").join(recurring.select("leaf", "key", "first").withColumnRenamed("leaf", "_leaf").withColumnRenamed("key", "_key"), (F.col("leaf") == F.col("_leaf")) & F.col("key").eqNullSafe(F.col("_key"))).select("leaf", "own", "first")
-    marked = keys.join(decided, ["leaf", "own"], "left").select("_doc", "_text", F.struct("pos", F.coalesce(F.col("_doc") > F.col("first"), F.lit(False)).alias("gone")).alias("mark"))
-    marks = marked.groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("mark")).alias("_marks")).filter(F.exists("_marks", lambda m: m["gone"]))
+    templates = counted.groupBy("leaf", "key").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    recurring = templates.filter("first <> last").select(F.col("leaf").alias("_leaf"), F.col("key").alias("_key"), "first")
+    decided = counted.select("leaf", "own", "key").join(recurring, (F.col("leaf") == F.col("_leaf")) & F.col("key").eqNullSafe(F.col("_key"))).select("leaf", "own", "first")
+    gone = keys.join(decided, ["leaf", "own"]).filter(F.col("_doc") > F.col("first"))
+    gone = gone.groupBy("_doc", "_text").agg(F.collect_set("pos").alias("_gone"))
     rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    joined = docs.join(marks, (F.col(id) == F.col("_doc")) & (F.xxhash64(text) == F.col("_text")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.element_at("_marks", i + 1)["gone"]), "\n")
-    n_lines = F.when(F.col(id).isNotNull(), F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
-    n_dropped = F.when(F.col("_marks").isNull(), F.when(n_lines.isNotNull(), 0)).otherwise(F.size(F.filter("_marks", lambda m: m["gone"])))
-    out = {text: F.when(F.col("_marks").isNull(), F.col(text)).otherwise(kept)}
-    order = [out.get(c, F.col(c)).alias(c) for c in docs.columns if c in rest or c == text]
-    return joined.select(*order, n_lines.cast("int").alias("n_lines"), n_dropped.cast("int").alias("n_dropped"))
+    cut = docs.select(*rest, F.xxhash64(text).alias("_hash"), F.split(F.col(text), "\n", -1).alias("_parts"))
+    joined = cut.join(gone, (F.col(id) == F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("_parts")).otherwise(F.transform(stay, lambda i: F.get(F.col("_parts"), i)))
+    out = {text: F.array_join(kept, "\n")}
+    order = [out.get(c, F.col(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_lines = F.when(F.col(id).isNotNull() & F.col("_parts").isNotNull(), F.size("_parts"))
+    n_dropped = F.when(F.col("_gone").isNotNull(), F.size("_gone")).when(n_lines.isNotNull(), 0)
+    return joined.select(*order, n_lines.alias("n_lines"), n_dropped.cast("int").alias("n_dropped"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import line_templates, quality, toxicity
+from civicscope.llm import line_templates, order_minhash, packing, quality, toxicity
 from civicscope.llm.frames import held_out, reach
 
 QUERIES = {}
@@ -54,17 +55,13 @@ parsed AS (
   FROM lines WHERE line <> ''),
 uniq AS (SELECT size, head, line, count(*) AS n FROM parsed GROUP BY ALL),
 several AS (SELECT size, head FROM uniq GROUP BY ALL HAVING count(*) > 1),
-tokens AS (
-  SELECT size, head, line, n, generate_subscripts(string_split(line, ' '), 1) AS spot, unnest(string_split(line, ' ')) AS token
-  FROM uniq SEMI JOIN several USING (size, head)),
-votes AS (SELECT size, head, spot, token, sum(n) AS votes FROM tokens GROUP BY ALL),
-best AS (
-  SELECT size, head, spot, token, votes, sum(votes) OVER (PARTITION BY size, head, spot) AS everything,
-         row_number() OVER (PARTITION BY size, head, spot ORDER BY votes DESC, token) AS place FROM votes),
-constants AS (SELECT size, head, spot, token FROM best WHERE place = 1 AND 2 * votes >= everything AND token <> '<*>'),
+seeds AS (
+  SELECT size, head, line AS seed FROM uniq SEMI JOIN several USING (size, head)
+  QUALIFY row_number() OVER (PARTITION BY size, head ORDER BY n DESC, line DESC) = 1),
 agreed AS (
-  SELECT t.size, t.head, t.line, count(c.token) AS same, count(*) AS total
-  FROM tokens t LEFT JOIN constants c ON t.size = c.size AND t.head = c.head AND t.spot = c.spot AND t.token = c.token GROUP BY ALL),
+  SELECT u.size, u.head, u.line, u.size AS total,
+         len(list_filter(list_zip(string_split(u.line, ' '), string_split(s.seed, ' ')), lambda z: z[1] = z[2])) AS same
+  FROM uniq u JOIN seeds s USING (size, head)),
 keyed AS (
   SELECT p.doc_id, p.pos, p.size, p.head, CASE WHEN a.same >= 0.8 * a.total THEN '' ELSE p.line END AS template
   FROM parsed p LEFT JOIN agreed a USING (size, head, line)),
@@ -78,3 +75,16 @@ SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN d.text ELSE p.text END AS text,
        CAST(p.n_lines AS INTEGER) AS n_lines, CAST(p.n_dropped AS INTEGER) AS n_dropped
 FROM documents d LEFT JOIN put p ON d.doc_id = p.doc_id
 """
+
+
+@query
+def op10_near_dedup(spark, folder):
+    classes = order_minhash.near_classes(table(spark, folder, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query
+def op2_packing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(cut)
