@@ -46,10 +46,12 @@ def held_out(key) -> F.Column:
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its text reaches BATCH_BYTES."""
+    """Cut a batch where its text (or number of list entries) reaches BATCH_BYTES."""
     if batch.num_rows == 0:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    array = batch.column(batch.schema.get_field_index(text))
+    length = pc.list_value_length(array) if pa.types.is_list(array.type) else pc.binary_length(array)
+    sizes = pc.fill_null(length, 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import line_templates, order_minhash, packing, quality, toxicity
+from civicscope.llm import bpe_tree, line_templates, order_minhash, packing, quality, toxicity
 from civicscope.llm.frames import held_out, reach
 
 QUERIES = {}
@@ -88,3 +88,16 @@ def op2_packing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packing.pack(cut)
+
+
+@query
+def op6_bpe_tree(spark, folder):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe_tree.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks).drop("text")
+    back = bpe_tree.decode(coded, ranks)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
