@@ -45,14 +45,14 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its text (or number of list entries) reaches BATCH_BYTES."""
+def slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where its text (or number of list entries) reaches a size."""
     if batch.num_rows == 0:
         return
     array = batch.column(batch.schema.get_field_index(text))
     length = pc.list_value_length(array) if pa.types.is_list(array.type) else pc.binary_length(array)
     sizes = pc.fill_null(length, 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+    part = np.cumsum(sizes, dtype=np.int64) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)

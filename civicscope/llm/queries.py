@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import bpe_tree, line_templates, order_minhash, packing, quality, toxicity
+from civicscope.llm import bpe_tree, line_templates, order_minhash, packing, parsing, quality, toxicity
 from civicscope.llm.frames import held_out, reach
 
 QUERIES = {}
@@ -101,3 +101,8 @@ def op6_bpe_tree(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_fingerprints(spark, folder):
+    return parsing.fingerprint_edits(table(spark, folder, "documents"))
