@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0,
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 12 << 20):
                 offsets, ids = encoder.encode(column(batch, text))
                 n = np.diff(offsets) + 1
                 ends = np.cumsum(n)

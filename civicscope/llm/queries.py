@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import bpe_tree, line_templates, order_minhash, packing, parsing, quality, toxicity
+from civicscope.llm import bpe_tree, line_templates, order_minhash, packing, parsing, quality, range_coder, toxicity
 from civicscope.llm.frames import held_out, reach
+from civicscope.operators.relations import shared_folder
 
 QUERIES = {}
 ORACLE = {}
@@ -106,3 +107,11 @@ def op6_bpe_tree(spark, folder):
 @query
 def op7_fingerprints(spark, folder):
     return parsing.fingerprint_edits(table(spark, folder, "documents"))
+
+
+@query
+def op5_token_files(spark, folder):
+    target = range_coder.new_folder(shared_folder(spark))
+    docs = table(spark, folder, "documents")
+    range_coder.write_files(docs, target, public_tokenizers.path("byte_bpe_50k.json"))
+    return range_coder.read_files(spark, target, docs.schema["doc_id"].dataType.simpleString(), with_ids=False).withColumnRenamed("id", "doc_id")
