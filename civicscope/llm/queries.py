@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import bpe_tree, line_templates, order_minhash, packing, parsing, quality, range_coder, toxicity
+from civicscope.llm import binary_codes, bpe_tree, line_templates, order_minhash, packing, parsing, quality, range_coder, toxicity
 from civicscope.llm.frames import held_out, reach
 from civicscope.operators.relations import shared_folder
 
@@ -115,3 +115,8 @@ def op5_token_files(spark, folder):
     docs = table(spark, folder, "documents")
     range_coder.write_files(docs, target, public_tokenizers.path("byte_bpe_50k.json"))
     return range_coder.read_files(spark, target, docs.schema["doc_id"].dataType.simpleString(), with_ids=False).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_embedding_dedup(spark, folder):
+    return binary_codes.near_vectors(table(spark, folder, "embeddings"))
