@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import binary_codes, bpe_tree, line_templates, order_minhash, packing, parsing, quality, range_coder, toxicity
+from civicscope.llm import binary_codes, bpe_tree, line_templates, order_minhash, packing, parsing, preferences, quality, range_coder, toxicity
 from civicscope.llm.frames import held_out, reach
 from civicscope.operators.relations import shared_folder
 
@@ -120,3 +120,41 @@ def op5_token_files(spark, folder):
 @query
 def op1_embedding_dedup(spark, folder):
     return binary_codes.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op4_preference_pairs(spark, folder):
+    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    talks = table(spark, folder, "conversations")
+    side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
+    turns = talks.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text")
+    parts = preferences.format_pairs(turns)
+    spans = F.array_join(F.transform("loss", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return parts.select("pair_id", "part", "chunk", "n_turns", "text", spans.alias("loss_spans"))
+
+
+ORACLE["op4_preference_pairs"] = """
+WITH turns AS (
+  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, coalesce(turn, -1) AS turn,
+         coalesce(role, 'none') AS role, coalesce(role = 'assistant', false) AS learned, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS k FROM turns),
+differ AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(row(coalesce(c.turn, r.turn), coalesce(c.k, r.k))) AS place
+  FROM (SELECT * FROM placed WHERE side = 'chosen') c
+  FULL OUTER JOIN (SELECT * FROM placed WHERE side = 'rejected') r ON c.pair_id = r.pair_id AND c.turn = r.turn AND c.k = r.k
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+parted AS (
+  SELECT p.*, d.place IS NULL OR row(p.turn, p.k) < d.place AS common FROM placed p LEFT JOIN differ d ON p.pair_id = d.pair_id),
+shown AS (
+  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE side END AS part, turn // 512 AS ca, k // 512 AS cb, turn, k, learned AND NOT common AS learned,
+         length(role) + 5 AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM parted WHERE NOT common OR side = 'chosen'),
+spoken AS (
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, part, ca, cb ORDER BY turn, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM shown)
+SELECT pair_id, part, CAST(row_number() OVER (PARTITION BY pair_id, part ORDER BY ca, cb) - 1 AS INTEGER) AS chunk, count(*) AS n_turns,
+       string_agg(shown, '' ORDER BY turn, k) AS text,
+       coalesce(string_agg(CAST(CAST(before + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(before + length(shown) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY turn, k) FILTER (WHERE learned), '') AS loss_spans
+FROM spoken GROUP BY pair_id, part, ca, cb
+"""
