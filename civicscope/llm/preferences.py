@@ -45,7 +45,7 @@ def format_pairs(turns: DataFrame, pair: str = "pair_id", side: str = "side", tu
     parted = parted.filter(~F.col("common") | (F.col("side") == "chosen")).withColumn("part", F.when(F.col("common"), "prompt").otherwise(F.col("side")))
     head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))
     parted = parted.select(
-        "pair", "part", F.struct(F.floor(F.col("turn") / CHUNK).alias("a"), F.floor(F.col("k") / CHUNK).alias("b")).alias("chunk"), "turn", "k",
+        "pair", "part", F.struct(F.floor(F.greatest(F.col("turn"), F.lit(0)) / CHUNK).alias("a"), F.floor(F.col("k") / CHUNK).alias("b")).alias("chunk"), "turn", "k",
         F.length(head).alias("head"), F.concat(head, F.col("text"), F.lit(END + "\n")).alias("shown"), (F.col("learned") & ~F.col("common")).alias("learned"),
     )
     group = ["pair", "part", "chunk"]

@@ -147,7 +147,7 @@ differ AS (
 parted AS (
   SELECT p.*, d.place IS NULL OR row(p.turn, p.k) < d.place AS common FROM placed p LEFT JOIN differ d ON p.pair_id = d.pair_id),
 shown AS (
-  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE side END AS part, turn // 512 AS ca, k // 512 AS cb, turn, k, learned AND NOT common AS learned,
+  SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE side END AS part, greatest(turn, 0) // 512 AS ca, k // 512 AS cb, turn, k, learned AND NOT common AS learned,
          length(role) + 5 AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
   FROM parted WHERE NOT common OR side = 'chosen'),
 spoken AS (

@@ -290,6 +290,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_id"
     a repeated task replaces what a lost one has written.
     """
     spark = reach(docs.sparkSession)
+    store, root = _place(folder)
+    store.create_dir(root, recursive=True)  # no documents are an empty folder
     encoder = PieceEncoder(tokenizer, keeps_space=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +299,6 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_id"
 
         task = TaskContext.get()
         store, root = _place(folder)
-        store.create_dir(root, recursive=True)
         keys, lengths, parts, held, number = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
