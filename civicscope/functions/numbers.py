@@ -65,10 +65,10 @@ def display_value(value: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Text of an already cleaned number: integral values print without a point."""
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(
-        value.cast("string")
-    )
+    """Text of an already cleaned number: integral values print without a point, none with an exponent."""
+    plain = F.regexp_replace(F.format_string("%.6f", value), "0+$", "")
+    ordinary = (F.abs(value) < 1e7) & (F.abs(value) >= 1e-3)
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).when(ordinary, value.cast("string")).when(value.isNotNull(), plain)
 
 
 def fixed_text(value: Column, digits: int = 0) -> Column:

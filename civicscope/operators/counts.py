@@ -68,21 +68,16 @@ def age_statistics(
     by: Sequence[str],
     as_of: Column,
     at_least: int = 3,
-    accuracy: int | None = None,
 ) -> DataFrame:
     """Median and mean age in years, shares of young and old, per group of enough rows.
 
     The exact median runs over day counts weighted by frequency, so a group's state
-    is bounded by the number of distinct dates, not by its rows.  ``accuracy``
-    switches to the approximate percentile of that order.
+    is bounded by the number of distinct dates, not by its rows.
     """
     days = F.datediff(as_of, F.col("start_date"))
     aged = histogram.withColumn("_days", days)
     count = F.sum("n")
-    if accuracy is None:
-        median = F.percentile(F.col("_days"), 0.5, F.col("n"))
-    else:
-        median = F.percentile_approx("_days", 0.5, accuracy)
+    median = F.percentile(F.col("_days"), 0.5, F.col("n"))
     mean = F.sum(F.col("_days") * F.col("n")) / count
     stats = aged.groupBy(*by).agg(
         count.alias("business_count"),

@@ -137,7 +137,8 @@ def place_sentence(
     top_category: Column,
     top_age: Column,
     metrics=fixed.PLACE_SENTENCE,
-    peer: str = "sd zip code",
+    *,
+    peer: str,
 ) -> Column:
     """How one place differs from the average place, in its five strongest points."""
 
@@ -177,8 +178,9 @@ def area_sentence(
     top_category: Column,
     top_age: Column,
     metrics=fixed.AREA_SENTENCE,
-    peer: str = "sd area",
     unit: str = "zip codes",
+    *,
+    peer: str,
 ) -> Column:
     """How one area differs from the average place, in its five strongest points."""
 

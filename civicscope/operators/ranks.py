@@ -86,11 +86,12 @@ def rank_long(
     metric: str = "metric",
     value: str = "value",
     salts: int = 32,
+    buckets: int = 128,
 ) -> DataFrame:
     """Rows with a known value plus ``rank`` (ties share it) and ``of`` (known rows)."""
     known = settled(long.filter(F.col(value).isNotNull()))
-    positions = value_positions(known, metric, value)
-    hot = positions.filter((F.col("ties") > 10_000) & (F.col("ties") * 1000 > F.col("known")))
+    positions = value_positions(known, metric, value, buckets)
+    hot = positions.filter(F.col("ties") * 1000 > F.col("known"))
     ranked = skew_join(known, positions, [metric, value], ids, hot.select(metric, value), salts)
     down = F.lit(descending) if isinstance(descending, bool) else descending
     rank = F.when(down, F.col("known") - F.col("below") - F.col("ties")).otherwise(F.col("below"))
@@ -98,8 +99,8 @@ def rank_long(
         *ids,
         metric,
         value,
-        (rank + 1).cast("int").alias("rank"),
-        F.col("known").cast("int").alias("of"),
+        (rank + 1).alias("rank"),
+        F.col("known").alias("of"),
     )
 
 
@@ -149,13 +150,13 @@ def ranking(
     df: DataFrame,
     metric: str,
     key: str,
-    limit: int,
+    limit: int | None,
     descending: bool = True,
     context: Sequence[str] = (),
     allowed: Sequence[str] = fixed.RANKING_METRICS,
     keep_missing: bool = False,
 ) -> DataFrame:
-    """The first ``limit`` rows by a metric, enumerated; ties go by key."""
+    """The first ``limit`` rows (all without one) by a metric, enumerated; ties go by key."""
     require_metric(metric, allowed)
     value = F.col("sort_value")
     rows = df if keep_missing else df.filter(F.col(metric).isNotNull())
@@ -173,7 +174,7 @@ def category_ranking(
     category: str,
     metric: str,
     key: str,
-    limit: int,
+    limit: int | None,
     descending: bool = True,
     context: Sequence[str] = (),
     allowed: Sequence[str] = fixed.RANKING_METRICS,

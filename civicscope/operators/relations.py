@@ -127,15 +127,15 @@ def latest(
     by: Sequence[str] = (),
     qualifying: Column | None = None,
 ) -> DataFrame:
-    """Rows of the latest period, overall or per key.
+    """Rows of the latest period, overall or per key (one pass; meant for aggregated rows).
 
     ``qualifying`` restricts both the search for the latest period and the result.
     """
     rows = df if qualifying is None else df.filter(qualifying)
     if not by:
         return rows.filter(F.col(period) == rows.agg(F.max(period)).scalar())
-    newest = rows.groupBy(*by).agg(F.max(period).alias(period))
-    return rows.join(newest, [*by, period])
+    newest = F.max(period).over(W.partitionBy(*by))
+    return rows.withColumn("_newest", newest).filter(F.col(period) == F.col("_newest")).drop("_newest")
 
 
 def latest_row(df: DataFrame, by: Sequence[str], period: str, keep: Sequence[str]) -> DataFrame:
@@ -158,10 +158,45 @@ def top_n(
     return ranked if position else ranked.drop(rank)
 
 
-def ordered_head(df: DataFrame, order: Sequence[Column], n: int, position: str) -> DataFrame:
-    """First n rows of the whole frame, numbered 1..n; the window sees only those n."""
-    head = df.orderBy(*order).limit(n)
-    return head.withColumn(position, F.row_number().over(W.orderBy(*order)))
+#: Heads up to this length are merged in one task; longer ones are numbered by ranges.
+SMALL_HEAD = 5_000
+
+
+def ordered_head(df: DataFrame, order: Sequence[Column], n: int | None, position: str) -> DataFrame:
+    """First n rows of the whole frame (all without n), numbered 1..n."""
+    if n is not None and n <= SMALL_HEAD:
+        head = df.orderBy(*order).limit(n)
+        return head.withColumn(position, F.row_number().over(W.orderBy(*order)))
+    rows = numbered(df, order, position)
+    return rows if n is None else rows.filter(F.col(position) <= n)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], position: str) -> DataFrame:
+    """All rows numbered from 1 in the given order: each range of the order in its own task."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range.
+    starts = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    placed = ranged.join(F.broadcast(starts), "_range").withColumn(position, (F.col("_start") + inside).cast("int"))
+    return placed.drop("_range", "_start")
+
+
+def smallest(df: DataFrame, by: Column, ties: Sequence[str], n: int, shift: int = 48) -> DataFrame:
+    """The n rows with the smallest ``by`` (a long, hash-like; then by ``ties``), as a repeatable sample.
+
+    Rows are counted by the upper bits of ``by``; whole buckets below the cut stay,
+    and only the bucket that holds the cut is ordered.  There are at most
+    2 ** (bits of ``by`` - shift) buckets.
+    """
+    marked = df.withColumn("_by", by).withColumn("_bucket", F.shiftright("_by", shift))
+    sizes = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ends = sizes.select("_bucket", F.sum("_n").over(W.orderBy("_bucket")).alias("_end"), "_n")
+    open_ended = ends.filter(F.col("_end") - F.col("_n") < n).select("_bucket", (F.lit(n) - F.col("_end") + F.col("_n")).alias("_room"), "_n")
+    kept = marked.join(F.broadcast(open_ended), "_bucket")
+    whole = kept.filter(F.col("_n") <= F.col("_room"))
+    cut = top_n(kept.filter(F.col("_n") > F.col("_room")), ["_bucket"], [F.col("_by"), *[F.col(c) for c in ties]], n, "_place")
+    return whole.unionByName(cut.filter(F.col("_place") <= F.col("_room")).drop("_place")).select(*df.columns)
 
 
 def collect_top(
@@ -177,14 +212,14 @@ def collect_top(
 # ---------------------------------------------------------------- joins
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: int = 1000, floor: int = 10_000) -> DataFrame:
-    """Keys holding more than one in ``share`` of all rows (and more than ``floor`` rows).
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = 1000) -> DataFrame:
+    """Keys holding more than one in ``share`` of all rows.
 
     By counting there are fewer than ``share`` of them, so they may be broadcast.
     """
     sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("t")).select("t").scalar()
-    return sizes.filter((F.col("_n") > floor) & (F.col("_n") * share > total)).select(*on)
+    return sizes.filter(F.col("_n") * share > total).select(*on)
 
 
 def skew_join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicscope.functions import fixed_values as fixed
@@ -21,6 +21,7 @@ from civicscope.operators import compare, counts, geo, narrative, ranks, trends
 from civicscope.operators.relations import (
     latest,
     require_metric,
+    smallest,
     top_n,
     where_between,
     where_equal,
@@ -29,12 +30,8 @@ from civicscope.operators.relations import (
 from civicscope.plans import profiles
 from civicscope.plans.tables import KEY, Tables
 
-# Most rows a call returns.
-BUSINESS_CAP = 5000
-MOMENTUM_CAP = 100
-POINT_CAP = 100_000
-COMPETITOR_CAP = 500
-NEARBY_CAP = 20
+# Rows of the calls that are "top n" by nature.
+NEARBY_ROWS = 20
 AGE_ROWS = 15
 
 # Map layer -> (table, year column).
@@ -48,8 +45,18 @@ LAYERS = {
 RANK_CONTEXT = ["population", "median_income", "active_count"]
 
 
+def in_order(rows: DataFrame, order: Sequence[Column | str], limit: int | None) -> DataFrame:
+    """All rows in order, or exactly the first ``limit``."""
+    ordered = rows.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 class Answers:
-    """Query layer: every method returns a lazy DataFrame."""
+    """Query layer: every method returns a DataFrame over all keys; a limit is the caller's alone.
+
+    Methods that rank or place (percentile_ranks, profile, nearby_all, rankings without a limit)
+    settle shared intermediate results when called.
+    """
 
     def __init__(self, tables: Tables) -> None:
         self.tables = tables
@@ -85,11 +92,11 @@ class Answers:
         zip_code: str | None = None,
         category: str | None = None,
         status: str | None = None,
-        limit: int = 100,
+        limit: int | None = None,
     ) -> DataFrame:
         """Business records meeting the given conditions, by name."""
         rows = where_equal(self.tables["businesses"], zip_code=zip_code, category=category, status=status)
-        return rows.orderBy("business_name", "account_id").limit(min(limit, BUSINESS_CAP))
+        return in_order(rows, ["business_name", "account_id"], limit)
 
     def areas(self) -> DataFrame:
         """All areas with their main figures, largest first."""
@@ -154,7 +161,7 @@ class Answers:
     # ------------------------------------------------------------ rankings
 
     def rankings(
-        self, sort_by: str = "population", sort_desc: bool = True, category: str | None = None, limit: int = 82
+        self, sort_by: str = "population", sort_desc: bool = True, category: str | None = None, limit: int | None = None
     ) -> DataFrame:
         """Places by a metric, optionally with one category's density as context."""
         profile = self.tables["neighborhood_profile"]
@@ -172,7 +179,7 @@ class Answers:
         return profiles.shown(ranked)
 
     def area_rankings(
-        self, sort_by: str = "population", sort_desc: bool = True, category: str | None = None, limit: int = 20
+        self, sort_by: str = "population", sort_desc: bool = True, category: str | None = None, limit: int | None = None
     ) -> DataFrame:
         """Areas by a metric, optionally with one category's count and density."""
         areas = self.tables["area_profile"]
@@ -209,15 +216,15 @@ class Answers:
         """Rank and percentile of every metric of every place."""
         return profiles.place_percentiles(self.tables)
 
-    def momentum(self, limit: int = 20) -> DataFrame:
+    def momentum(self, limit: int | None = None) -> DataFrame:
         """Places by growth score."""
-        rows = self.tables["momentum_scores"].orderBy(F.col("momentum_score").desc_nulls_last(), KEY)
-        return profiles.shown(rows.limit(min(limit, MOMENTUM_CAP)))
+        order = [F.col("momentum_score").desc_nulls_last(), KEY]
+        return profiles.shown(in_order(self.tables["momentum_scores"], order, limit))
 
-    def area_momentum(self, limit: int = 20) -> DataFrame:
+    def area_momentum(self, limit: int | None = None) -> DataFrame:
         """Areas by growth score."""
-        rows = self.tables["momentum_by_area"].orderBy(F.col("momentum_score").desc_nulls_last(), "area")
-        return profiles.shown(rows.limit(min(limit, MOMENTUM_CAP)))
+        order = [F.col("momentum_score").desc_nulls_last(), "area"]
+        return profiles.shown(in_order(self.tables["momentum_by_area"], order, limit))
 
     def business_age(self, zip_code: str | None = None, n: int = AGE_ROWS) -> DataFrame:
         """The most common categories of a place (or of each place) with their ages."""
@@ -299,16 +306,18 @@ class Answers:
         zip_code: str | None = None,
         year_min: int | None = None,
         year_max: int | None = None,
-        limit: int = 50_000,
         center_lat: float | None = None,
         center_lng: float | None = None,
         bbox_deg: float = geo.PLACE_BOX_DEG,
-        order_by: Sequence[str] = (),
+        sample: int | None = None,
+        sample_by: Column | None = None,
+        sample_shift: int = 48,
     ) -> DataFrame:
         """Points of a layer within years and a box around a centre or a place.
 
-        An unknown layer gives no rows.  With ``order_by`` the kept points are
-        reproducible.
+        An unknown layer gives no rows.  ``sample`` keeps that many points, those
+        with the smallest hash; ``sample_by`` is another hash and
+        ``sample_shift`` the bits below its counted ones.
         """
         if layer not in LAYERS:
             spark = self.tables["zip_to_neighborhood"].sparkSession
@@ -319,9 +328,10 @@ class Answers:
             rows = geo.within_box(rows, center_lat, center_lng, bbox_deg)
         elif zip_code is not None:
             rows = geo.within_box_of(rows, self.tables["zip_centroids"], KEY, zip_code)
-        if order_by:
-            rows = rows.orderBy(*order_by)
-        return rows.limit(min(limit, POINT_CAP))
+        if sample is None:
+            return rows
+        by = F.xxhash64(*rows.columns) if sample_by is None else sample_by
+        return smallest(rows, by, [c for c in rows.columns if c == "point_id"], sample, sample_shift)
 
     def point_classes(self, points: DataFrame) -> DataFrame:
         """Permit points with their display class."""
@@ -331,11 +341,11 @@ class Answers:
         """The map box covering each area."""
         return geo.view_boxes(self.tables["zip_area"], self.tables["zip_centroids"], KEY, "area", default_centre)
 
-    def competitors(self, category: str, zip_code: str, limit: int = COMPETITOR_CAP) -> DataFrame:
+    def competitors(self, category: str, zip_code: str, limit: int | None = None) -> DataFrame:
         """Active businesses of a category in a place, by name."""
         rows = where_equal(self.tables["businesses"], category=category, zip_code=zip_code, status="active")
         rows = rows.select("account_id", "business_name", "address", KEY, "start_date", "status")
-        return rows.orderBy("business_name", "account_id").limit(min(limit, COMPETITOR_CAP))
+        return in_order(rows, ["business_name", "account_id"], limit)
 
     def competitor_density(self, category: str | None = None, zip_code: str | None = None) -> DataFrame:
         """Active count, density and city density for each (place, category)."""
@@ -343,7 +353,8 @@ class Answers:
         city = counts.city_rates(by_zip, self.tables["demographics_by_zip"], KEY)
         people = self.tables["neighborhood_profile"].select(KEY, "population")
         rows = where_equal(by_zip, category=category, zip_code=zip_code)
-        rows = rows.filter(F.col("category").isNotNull()).join(people, KEY, "left").join(city, "category", "left")
+        rows = rows.filter(F.col("category").isNotNull()).join(people, KEY, "left")
+        rows = rows.join(F.broadcast(city), "category", "left")  # one row per category of the fixed list
         rate = safe_ratio(F.col("active_count") * F.lit(1000.0), F.col("population"))
         return rows.select(
             KEY,
@@ -360,7 +371,7 @@ class Answers:
         return rates.join(profile.select(KEY, "neighborhood"), KEY)
 
     def nearby_competitors(
-        self, category: str, zip_code: str, limit: int = NEARBY_CAP, include_self: bool = True
+        self, category: str, zip_code: str, limit: int = NEARBY_ROWS, include_self: bool = True
     ) -> DataFrame:
         """Places near a place with active businesses of the category, most first."""
         rates = self._located_rates().filter(F.col("category") == category)
@@ -382,7 +393,7 @@ class Answers:
             F.coalesce(F.when((rate != 0) & (mean > 0), signed_percent_text(versus)), F.lit("—")).alias("vs_city_avg"),
         )
 
-    def nearby_all(self, limit: int = NEARBY_CAP) -> DataFrame:
+    def nearby_all(self, limit: int = NEARBY_ROWS) -> DataFrame:
         """For every place and category, the nearby places with most active businesses."""
         located = self._located_rates().join(self.tables["zip_centroids"], KEY)
         return geo.nearby_top(located, KEY, "active_count", ["category"], n=limit)

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from civicscope.plans.answers import Answers
 from civicscope.plans.contracts import check_contract
-from civicscope.plans.tables import KEY, SOURCES, Tables, businesses, demographics
+from civicscope.plans.tables import KEY, PEERS, SOURCES, Tables, businesses, demographics
 from civicscope.sources import files
 
 # Columns each table is clustered by, so that a filter on them skips files.
 CLUSTERED = {
-    "businesses": [KEY, "category"],
+    "businesses": [KEY, "category", "account_id"],
     "business_cells": [KEY],
     "business_by_zip": [KEY],
     "business_summary": [KEY],
@@ -80,6 +80,7 @@ def build(spark: SparkSession, config: Mapping, target: str) -> dict[str, DataFr
         config.get("null_policy", "last"),
         config.get("first_year", 2015),
         store,
+        tuple(config.get("peers", PEERS)),
     )
     return graph.build_all()
 
@@ -87,8 +88,9 @@ def build(spark: SparkSession, config: Mapping, target: str) -> dict[str, DataFr
 class StoredTables:
     """Built tables under a folder, plus the civic tables a question may need."""
 
-    def __init__(self, spark: SparkSession, target: str, tables: Mapping[str, str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, target: str, tables: Mapping[str, str] | None = None, peers: tuple[str, str] = PEERS) -> None:
         self.spark = spark
+        self.peers = peers
         self.paths = {name: f"{target.rstrip('/')}/{name}" for name in Tables.NAMES}
         self.paths.update({name: path for name, path in (tables or {}).items() if name in SOURCES})
         self._opened: dict[str, DataFrame | None] = {}
@@ -106,9 +108,11 @@ class StoredTables:
         return table
 
 
-def open_answers(spark: SparkSession, target: str, tables: Mapping[str, str] | None = None) -> Answers:
+def open_answers(
+    spark: SparkSession, target: str, tables: Mapping[str, str] | None = None, peers: tuple[str, str] = PEERS
+) -> Answers:
     """The question layer over built tables."""
-    return Answers(StoredTables(spark, target, tables))
+    return Answers(StoredTables(spark, target, tables, peers))
 
 
 def main() -> None:

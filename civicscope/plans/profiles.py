@@ -152,6 +152,7 @@ def place_narratives(tables: Tables) -> DataFrame:
             F.col("momentum_score"),
             F.col("top_category"),
             F.col("top_age"),
+            peer=tables.peers[0],
         ).alias("narrative"),
     )
 
@@ -290,6 +291,7 @@ def area_narratives(tables: Tables) -> DataFrame:
             F.col("momentum_score"),
             F.col("top_category"),
             F.col("top_age"),
+            peer=tables.peers[1],
         ).alias("narrative"),
     )
 

@@ -221,22 +221,16 @@ def neighborhood_profile(
     return attach(rows, requests, {"median_311_days": "double", "total_311_requests": "bigint"})
 
 
-def area_profile(profile: DataFrame, mapping: DataFrame, member_list: bool = False) -> DataFrame:
-    """Places rolled up to areas: sums, and means weighted by residents or requests.
-
-    ``member_list`` adds the sorted array of member places; it is as long as the
-    area has places, so leave it off for large memberships.
-    """
+def area_profile(profile: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Places rolled up to areas: sums, and means weighted by residents or requests."""
     people = F.col("population")
 
     def mean(name: str, digits: int) -> Column:
         return weighted_mean(F.col(name).cast("double"), people, digits).alias(name)
 
     joined = mapping.select(KEY, "area").join(profile.drop("area"), KEY)
-    members = [F.array_sort(F.collect_set(KEY)).alias("zip_codes")] if member_list else []
     requests = F.col("total_311_requests")
     per_area = joined.groupBy("area").agg(
-        *members,
         F.count(F.lit(1)).alias("zip_count"),
         F.sum(people.cast("bigint")).alias("population"),
         mean("median_age", 1),
@@ -332,13 +326,18 @@ def settle_shared(name: str, df: DataFrame) -> DataFrame:
     return settled(df) if name in SHARED else df
 
 
+#: What sentences call the average place and the average area.
+PEERS = ("zip code", "area")
+
+
 class Tables:
     """The job graph: each table is planned on first use and only once.
 
     ``source`` gives a source table by name, or None (``dict.get`` will do).  ``store``
     sees every finished table and returns the frame later tables read.  The default
-    settles the aggregates that several tables share, so the business and civic rows
-    are scanned once; ``files.parquet_store`` writes every table; None keeps one plan.
+    settles the aggregates that several tables share; the businesses are still read
+    once for each table that starts from their rows.  ``files.parquet_store`` writes
+    every table; None keeps one plan.  ``peers`` names the average place and area.
     """
 
     def __init__(
@@ -350,8 +349,10 @@ class Tables:
         null_policy: str = "last",
         first_year: int = 2015,
         store: Callable[[str, DataFrame], DataFrame] | None = settle_shared,
+        peers: tuple[str, str] = PEERS,
     ) -> None:
         self._source = source
+        self.peers = peers
         self.as_of = as_date(as_of)
         self.previous_year = previous_year
         self.current_year = current_year

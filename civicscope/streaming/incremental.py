@@ -6,26 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def _where(spark: SparkSession, source: str) -> tuple[str, str]:
+    """The folder to watch and the names that count in it: a streaming source takes folders only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return (source, "*.parquet") if status.isDirectory() else (source.rsplit("/", 1)[0], source.rsplit("/", 1)[1])
+
+
 def load_new_files(
     spark: SparkSession,
     source: str,
     target: str,
     checkpoint: str,
     schema: StructType,
-    files: str = "*.parquet",
     max_files: int = 1000,
 ) -> DataFrame:
-    """Append new Parquet files of a folder to a target table and return the target.
+    """Append new Parquet files of a table, one file or a folder, to a target table and return the target.
 
     The checkpoint remembers the files already taken, so a rerun after a lost
     driver or executor neither skips nor repeats any; the file sink commits each
     batch once.
     """
+    folder, files = _where(spark, source)
     arrivals = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", files)
         .option("maxFilesPerTrigger", max_files)
-        .parquet(source)
+        .parquet(folder)
     )
     query = (
         arrivals.writeStream.format("parquet")

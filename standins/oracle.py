@@ -86,8 +86,8 @@ PROFILE_METRICS = [m for m in fixed.PERCENTILE_METRICS if m != "momentum_score"]
 def percentile_part(table: str, metric: str) -> str:
     direction = "DESC" if fixed.PERCENTILE_METRICS[metric] else "ASC"
     return f"""SELECT zip_code, '{metric}' AS metric, CAST({metric} AS DOUBLE) AS value,
-        CAST(RANK() OVER (ORDER BY {metric} {direction} NULLS LAST) AS INTEGER) AS rank,
-        CAST(COUNT({metric}) OVER () AS INTEGER) AS of FROM {table}"""
+        RANK() OVER (ORDER BY {metric} {direction} NULLS LAST) AS rank,
+        COUNT({metric}) OVER () AS of FROM {table}"""
 
 
 SERIES = {
@@ -673,12 +673,18 @@ BODY = {
         o_totalprice AS valuation, o_orderpriority = '1-URGENT' AS is_solar FROM orders)
         WHERE approval_year BETWEEN 1997 AND 2000
           AND lat BETWEEN 32.6e0 - 0.05e0 AND 32.6e0 + 0.05e0 AND lng BETWEEN -117.1e0 - 0.05e0 AND -117.1e0 + 0.05e0
-        ORDER BY point_id LIMIT 50000""",
+        """,
+    "map_points_all": f"""SELECT o_orderkey AS point_id, {point('o_orderkey', 'o_custkey')},
+        o_orderpriority AS approval_type_clean, CAST(year(o_orderdate) AS INTEGER) AS approval_year,
+        o_totalprice AS valuation, o_orderpriority = '1-URGENT' AS is_solar FROM orders""",
+    "map_points_sample": f"""SELECT event_id AS point_id, {point('event_id', 'user_id')},
+        event_type AS service_name, CAST(year(ts) AS INTEGER) AS request_year FROM events
+        ORDER BY CAST(event_id AS BIGINT) * 40503 % 2147483647, event_id LIMIT 1000""",
     "map_points_place": f"""SELECT p.* FROM (SELECT event_id AS point_id, {point('event_id', 'user_id')},
         event_type AS service_name, CAST(year(ts) AS INTEGER) AS request_year FROM events) p,
         (SELECT lat, lng FROM t_cent WHERE zip_code = '7') c
         WHERE p.lat >= c.lat - 0.05e0 AND p.lat <= c.lat + 0.05e0
-          AND p.lng >= c.lng - 0.05e0 AND p.lng <= c.lng + 0.05e0 ORDER BY point_id LIMIT 50000""",
+          AND p.lng >= c.lng - 0.05e0 AND p.lng <= c.lng + 0.05e0""",
     "point_classes": """SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'solar' ELSE 'other' END AS point_class,
         CAST(year(o_orderdate) AS INTEGER) AS approval_year, COUNT(*) AS points FROM orders GROUP BY ALL""",
     "nearby_places": "SELECT * FROM t_near",
@@ -704,11 +710,9 @@ BODY = {
         ROUND(COALESCE(greatest(MAX(lat) - MIN(lat), MAX(lng) - MIN(lng)) / 2 + 0.02e0, 0.08e0), 6) AS half_deg
         FROM t_map LEFT JOIN t_cent USING (zip_code) GROUP BY area""",
     "competitors": """SELECT account_id, business_name, address, zip_code, start_date, status FROM t_biz
-        WHERE category = 'restaurant' AND zip_code = '7' AND status = 'active'
-        ORDER BY business_name, account_id LIMIT 500""",
+        WHERE category = 'restaurant' AND zip_code = '7' AND status = 'active'""",
     "competitor_density": "SELECT * FROM t_density",
-    "businesses_lookup": """SELECT * FROM t_biz WHERE category = 'restaurant' AND status = 'inactive'
-        ORDER BY business_name, account_id LIMIT 200""",
+    "businesses_lookup": """SELECT * FROM t_biz WHERE category = 'restaurant' AND status = 'inactive'""",
     "service_types": """SELECT event_type AS service_name, COUNT(*) AS total_requests,
         COUNT(*) FILTER (WHERE value > 20) AS closed_requests,
         ROUND(AVG(CAST(floor(value) AS INTEGER)), 1) AS avg_resolution_days,

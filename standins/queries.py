@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -395,13 +394,24 @@ def series_span(d):
 
 @query
 def map_points(d):
-    return d.answers.map_points("permits", year_min=1997, year_max=2000, center_lat=32.6, center_lng=-117.1,
-                                order_by=["point_id"])
+    return d.answers.map_points("permits", year_min=1997, year_max=2000, center_lat=32.6, center_lng=-117.1)
+
+
+@query
+def map_points_all(d):
+    return d.answers.map_points("permits")
+
+
+@query
+def map_points_sample(d):
+    """The 1,000 points with the smallest scattered id (below 2**31, counted by its upper 12 bits)."""
+    scattered = F.col("point_id").cast("long") * 40503 % 2147483647
+    return d.answers.map_points("311", sample=1000, sample_by=scattered, sample_shift=19)
 
 
 @query
 def map_points_place(d):
-    return d.answers.map_points("311", zip_code=PLACE, order_by=["point_id"])
+    return d.answers.map_points("311", zip_code=PLACE)
 
 
 @query
@@ -457,7 +467,7 @@ def competitor_density(d):
 
 @query
 def businesses_lookup(d):
-    return d.answers.businesses(category=CATEGORY, status="inactive", limit=200)
+    return d.answers.businesses(category=CATEGORY, status="inactive")
 
 
 @query
@@ -625,11 +635,7 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh subfolder of the shared folder."""
-    root = shared_folder(spark)
-    if root.startswith("/"):
-        os.makedirs(root, exist_ok=True)
-        return tempfile.mkdtemp(prefix="run-", dir=root)
-    return f"{root}/run-{os.urandom(6).hex()}"
+    return f"{shared_folder(spark)}/run-{os.urandom(6).hex()}"
 
 
 @query
@@ -643,7 +649,7 @@ def incremental_load(d):
     """Load the orders file through the file stream and read the target back."""
     work = work_folder(d.spark)
     schema = d.read("orders").schema
-    return load_new_files(d.spark, d.folder, f"{work}/orders", f"{work}/_seen", schema, "orders.parquet")
+    return load_new_files(d.spark, f"{d.folder}/orders.parquet", f"{work}/orders", f"{work}/_seen", schema)
 
 
 @query

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from civicscope.plans.answers import Answers
 from civicscope.plans.tables import SOURCES, Tables, businesses, demographics, settle_shared
 
+PEERS = ("sd zip code", "sd area")
 AS_OF = "2001-08-01"
 PREVIOUS_YEAR, CURRENT_YEAR = 1999, 2000
 FIRST_YEAR = 1996
@@ -378,7 +379,7 @@ class Domain:
         return getattr(self, name) if name in SOURCES else None
 
     def job_graph(self, store=settle_shared, null_policy: str = "last") -> Tables:
-        return Tables(self.source, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, null_policy, FIRST_YEAR, store)
+        return Tables(self.source, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, null_policy, FIRST_YEAR, store, PEERS)
 
     @cached_property
     def tables(self) -> Tables:

@@ -36,6 +36,7 @@ def test_round_half_up_scales_first(spark):
 def test_display_and_number_text(spark):
     shown = column(spark, [62.0, 62.55, None], "double", lambda c: n.number_text(n.display_value(c)))
     assert shown == ["62", str(round(62.55, 1)), None]
+    assert column(spark, [12345678.9, -0.0001, 1e9], "double", n.number_text) == ["12345678.9", "-0.0001", "1000000000"]
     assert column(spark, [0.5, 1.5, 2.5], "double", n.fixed_text) == ["0", "2", "2"]
 
 

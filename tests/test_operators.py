@@ -35,13 +35,28 @@ def test_latest_overall_and_per_key(spark):
 def test_skew_join_equals_plain_join(spark):
     big = spark.range(500).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 5).cast("bigint").alias("k"), "id")
     small = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "k bigint, v string")
-    hot = relations.hot_keys(big, ["k"], share=3, floor=10)
+    hot = relations.hot_keys(big, ["k"], share=3)
     assert rows(hot, "k") == [(0,)]
     for how in ("inner", "left"):
         joined = relations.skew_join(big, small, ["k"], ["id"], hot, salts=8, how=how)
         assert sorted(map(str, joined.select("id", "v").collect())) == sorted(
             map(str, big.join(small, "k", how).select("id", "v").collect()))
-    assert relations.hot_keys(big, ["k"]).count() == 0
+    assert relations.hot_keys(big, ["k"], share=1).count() == 0
+
+
+def test_numbering_and_samples_cover_all_rows(spark):
+    data = spark.range(1000).select("id", (F.col("id") * 37 % 101).alias("v")).repartition(7)
+    order = [F.col("v").desc(), F.col("id")]
+    want = [r["id"] for r in data.orderBy(*order).collect()]
+    for n in (None, 6000):
+        got = sorted(relations.ordered_head(data, order, n, "p").collect(), key=lambda r: r["p"])
+        assert [r["id"] for r in got] == want and [r["p"] for r in got] == list(range(1, 1001))
+    assert [r["id"] for r in relations.ordered_head(data, order, 5, "p").orderBy("p").collect()] == want[:5]
+    scattered = F.col("id") * 40503 % 1024
+    for n, shift in ((1, 6), (130, 6), (999, 3), (5000, 6)):
+        kept = relations.smallest(data, scattered, ["id"], n, shift)
+        assert kept.columns == ["id", "v"]
+        assert {r["id"] for r in kept.collect()} == set(sorted(range(1000), key=lambda i: (i * 40503 % 1024, i))[:n])
 
 
 def test_metric_names_are_checked():
@@ -191,7 +206,7 @@ def test_nearby_top_equals_brute_force(spark, monkeypatch, seed, n, spread, keep
     for c, k, lat, lng, _ in data:
         near = [(-m, q) for d, q, y, x, m in data if d == c and abs(y - lat) <= 0.1 and abs(x - lng) <= 0.1]
         want |= {(c, k, i + 1, q, -m) for i, (m, q) in enumerate(sorted(near)[:keep])}
-    monkeypatch.setattr(geo, "hot_keys", lambda df, on: relations.hot_keys(df, on, share=20, floor=5))
+    monkeypatch.setattr(geo, "hot_keys", lambda df, on: relations.hot_keys(df, on, share=20))
     got = geo.nearby_top(frame, "k", "n", ["c"], 0.1, keep, salts=4)
     assert {tuple(r) for r in got.select("c", "k", "position", "near_key", "n").collect()} == want
 
@@ -252,7 +267,7 @@ def sentence(spark, value, average, momentum=None, category=None, age=None):
         [(*value, *average, momentum, category, age)],
         "m1 double, m2 double, a1 double, a2 double, s double, c string, g double",
     )
-    built = narrative.place_sentence(F.col, F.col, F.col("s"), F.col("c"), F.col("g"), metrics, "place")
+    built = narrative.place_sentence(F.col, F.col, F.col("s"), F.col("c"), F.col("g"), metrics, peer="place")
     return one.select(built).first()[0]
 
 

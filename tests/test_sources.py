@@ -68,6 +68,21 @@ def test_incremental_load_takes_each_file_once(spark, tmp_path):
     assert run().count() == 20
 
 
+def test_incremental_load_of_one_file(spark, tmp_path):
+    made = tmp_path / "made"
+    spark.range(10).coalesce(1).write.parquet(str(made))
+    part = next(p for p in os.listdir(made) if p.endswith(".parquet"))
+    shutil.copy(made / part, tmp_path / "table.parquet")
+    out = load_new_files(spark, str(tmp_path / "table.parquet"), str(tmp_path / "out"), str(tmp_path / "seen"), spark.range(1).schema)
+    assert out.count() == 10
+
+
+def test_incremental_load_of_a_directory_named_like_a_file(spark, tmp_path):
+    spark.range(1500).repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    out = load_new_files(spark, str(tmp_path / "orders.parquet"), str(tmp_path / "out"), str(tmp_path / "seen"), spark.range(1).schema)
+    assert out.count() == 1500
+
+
 def test_lookup_table(spark):
     got = files.lookup_table(spark, {"a": "x", "b": "y"}, "k", "v")
     assert sorted(map(tuple, got.collect())) == [("a", "x"), ("b", "y")]

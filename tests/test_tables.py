@@ -72,12 +72,6 @@ def test_absent_inputs_give_nulls(spark):
         graph["momentum_scores"]
 
 
-def test_member_list(spark):
-    graph = Tables(small_sources(spark).get, "2021-01-01", 2019, 2020)
-    listed = tables.area_profile(graph["neighborhood_profile"], graph["zip_area"], member_list=True)
-    assert {r["area"]: r["zip_codes"] for r in listed.collect()} == {"A": ["1", "2"], "Other": ["3"]}
-
-
 def test_gazetteer(spark):
     raw = spark.createDataFrame(
         [(" 1 ", "0", " 32.7 ", " -117.1  "), (" 9 ", "0", "33", "-117"), ("2", "0", "", "-117")],
@@ -88,7 +82,7 @@ def test_gazetteer(spark):
     assert tables.centroids(raw).count() == 2
 
 
-def test_competitor_count_is_not_cut_by_the_list_limit(spark):
+def test_lists_are_cut_only_by_the_callers_limit(spark):
     source = small_sources(spark)
     many = spark.range(600).select(
         F.col("id").cast("string").alias("account_id"),
@@ -106,7 +100,8 @@ def test_competitor_count_is_not_cut_by_the_list_limit(spark):
         "education_total int, bachelors_plus int, pct_bachelors_plus double",
     )
     answers = Answers(Tables(source.get, "2021-01-01", 2019, 2020))
-    assert answers.competitors("bar", "1").count() == 500
+    assert answers.competitors("bar", "1").count() == 600 == answers.businesses(limit=10**6).count()
+    assert answers.competitors("bar", "1", 7).count() == answers.businesses(limit=7).count() == 7
     row = answers.competitor_density("bar", "1").first()
     assert (row["count"], row["density"], row["city_avg_density"]) == (600, 600.0, 600.0)
 
@@ -130,7 +125,7 @@ def test_scores_and_percentiles_are_bounded(domain):
 def test_layers_give_points_and_filters_narrow_them(domain):
     answers = domain.answers
     for layer in ("311", "permits", "crime", "solar"):
-        assert answers.map_points(layer, limit=10).count() == 10
+        assert answers.map_points(layer, sample=10).count() == 10 < answers.map_points(layer).count()
     assert answers.map_points("unknown").count() == 0
     everything = answers.map_points("permits").count()
     assert 0 < answers.map_points("permits", zip_code="7", year_min=1997, year_max=2000).count() < everything
