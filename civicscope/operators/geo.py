@@ -135,14 +135,17 @@ def nearby_top(
 ) -> DataFrame:
     """For every place, its n best neighbours by score (self included), exactly.
 
-    Pairs are never listed in full.  Space is cut into cells of reach/3:
+    Far fewer pairs than all are listed.  Space is cut into cells of reach/3:
 
     * places in the 3x3 cells around a centre's cell are certainly within reach, so
       the n best of each such cell are enough for every centre of the cell;
     * places in the outer ring are tested one by one, but only those that would
       beat the n-th certain neighbour of the cell.  A cell whose 3x3 block holds
       fewer than n places keeps the whole ring; it then has fewer than n centres
-      itself, so the work stays proportional to the input.
+      itself.
+
+    Not bounded is the case of a crowded cell of low scores whose ring holds many
+    higher ones: all of these are tested against all of its centres.
 
     ``places`` has the key, ``lat``, ``lng``, the score and ``by`` columns, one row
     per key and ``by`` value.  Ties go by key.

@@ -87,7 +87,6 @@ def businesses(
         return parse_date(text(name))
 
     described = find_column(raw, *REGISTER_COLUMNS["description"]) is not None
-    described_by = text("description") if described else F.lit("")
     rows = raw.select(
         text("account", "unknown").alias("account_id"),
         text("name", "unknown").alias("business_name"),
@@ -95,15 +94,18 @@ def businesses(
         postal_key(text("zip")).alias(KEY),
         text("naics").alias("naics_code"),
         text("description").alias("activity_description"),
-        classify(text("naics"), described_by, prefixes, sectors, rules, strict_nulls=strict_nulls).alias(
-            "category"
-        ),
         day("start").alias("start_date"),
         day("created").alias("created_date"),
         day("expires").alias("expiration_date"),
     )
+    # Category and status follow from cleaned columns: duplicates go first, fewer rows are classified.
+    cleaned = rows.filter(F.col(KEY).isNotNull()).dropDuplicates()
+    described_by = F.col("activity_description") if described else F.lit("")
+    category = classify(F.col("naics_code"), described_by, prefixes, sectors, rules, strict_nulls=strict_nulls)
     status = activity_status(F.col("expiration_date"), as_date(as_of))
-    return rows.filter(F.col(KEY).isNotNull()).withColumn("status", status).dropDuplicates()
+    dates = ["start_date", "created_date", "expiration_date"]
+    front = [c for c in cleaned.columns if c not in dates]
+    return cleaned.select(*front, category.alias("category"), *dates, status.alias("status"))
 
 
 def demographics(raw: DataFrame) -> DataFrame:
