@@ -7,6 +7,9 @@ whole text goes through the tokenizer instead.
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +24,14 @@ _LINE = "\n"
 _TAIL = ".,!?%&$*#|;:"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class PieceEncoder:
     """Encodes Arrow arrays of texts; ``keeps_space``: a space belongs to the piece after it."""
 
@@ -76,7 +87,7 @@ class PieceEncoder:
                 shown = word.lower()
             else:
                 shown = word.encode().decode("latin-1").translate(self._bytes())
-            ids = np.array([t.id for t in self._load().model.tokenize(shown)], "<u4").tobytes()
+            ids = _packed([t.id for t in self._load().model.tokenize(shown)])
             self._seen[word] = ids
         return ids
 
