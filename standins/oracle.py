@@ -798,5 +798,10 @@ BODY = {
     "stored_job_graph": "SELECT * FROM t_area",
 }
 BODY["service_types_top"] = BODY["service_types"] + " ORDER BY total_requests DESC, service_name LIMIT 15"
+# Sections of the nested profiles hold what the flat queries give.
+BODY["profile_percentiles"] = "SELECT zip_code, metric, rank, of, percentile FROM t_pct"
+for section, flat in {"comparisons": "vs_average", "narratives": "narrative", "top_categories": "top_categories"}.items():
+    BODY[f"profile_{section}"] = BODY[flat]
+    BODY[f"area_profile_{section}"] = BODY[f"area_{flat}"]
 
 ORACLE = {name: with_tables(body) for name, body in BODY.items()}

@@ -668,3 +668,49 @@ def profiles_nested(d):
 @query
 def area_profiles_nested(d):
     return d.answers.area_profile()
+
+
+def spread(nested: DataFrame, key: str, section: str, by: str) -> DataFrame:
+    """A map section of a nested profile as rows."""
+    return nested.select(key, F.explode(section).alias(by, "_v")).select(key, by, "_v.*")
+
+
+def listed(nested: DataFrame, key: str, section: str) -> DataFrame:
+    """An array section of a nested profile as rows with their place."""
+    rows = nested.select(key, F.posexplode(section).alias("position", "_v"))
+    return rows.select(key, (F.col("position") + 1).alias("position"), "_v.*")
+
+
+@query
+def profile_percentiles(d):
+    return spread(d.answers.profile(), KEY, "percentiles", "metric")
+
+
+@query
+def profile_comparisons(d):
+    return spread(d.answers.profile(), KEY, "comparison_to_avg", "metric")
+
+
+@query
+def profile_narratives(d):
+    return d.answers.profile().select(KEY, "narrative")
+
+
+@query
+def profile_top_categories(d):
+    return listed(d.answers.profile(), KEY, "top_categories")
+
+
+@query
+def area_profile_comparisons(d):
+    return spread(d.answers.area_profile(), "area", "comparison_to_avg", "metric")
+
+
+@query
+def area_profile_narratives(d):
+    return d.answers.area_profile().select("area", "narrative")
+
+
+@query
+def area_profile_top_categories(d):
+    return listed(d.answers.area_profile(), "area", "top_categories")
