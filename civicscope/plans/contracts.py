@@ -34,6 +34,21 @@ CONTRACTS = {
     "momentum_by_area": f"area string, {_MOMENTUM}",
     "zip_centroids": "zip_code string, lat double, lng double",
     "zip_to_neighborhood": "zip_code string, neighborhood string",
+    "zip_area": "zip_code string, area string",
+    "area_profile": "area string, zip_count bigint, population bigint, median_age double, median_income double, "
+    "median_home_value double, median_rent double, pct_bachelors_plus double, active_count bigint, total_count bigint, "
+    "new_permits bigint, permit_valuation double, solar_installs bigint, crime_count bigint, median_311_days double, "
+    "total_311_requests bigint, businesses_per_1k double",
+    "city_averages": "avg_population double, avg_median_age double, avg_median_income double, "
+    "avg_median_home_value double, avg_median_rent double, avg_pct_bachelors_plus double, avg_active_businesses double, "
+    "avg_total_businesses double, avg_category_count double, avg_businesses_per_1k double, avg_crime_count double, "
+    "avg_median_311_days double, avg_new_permits double, avg_solar_installs double",
+    "trend_311_monthly": "year int, month int, total_requests bigint, closed_requests bigint, "
+    "avg_resolution_days double, median_resolution_days double",
+    "yearly_series": "zip_code string, series string, year int, count bigint",
+    "business_cells": "zip_code string, category string, total_count bigint, active_count bigint, "
+    "earliest_start date, latest_start date",
+    "start_histogram": "zip_code string, category string, start_date date, n bigint",
 }
 
 
