@@ -81,6 +81,22 @@ def dataset_health(spark: SparkSession, catalogue: Mapping[str, str]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def dataset_rows(spark: SparkSession, catalogue: Mapping[str, str], dates: Mapping[str, str]) -> DataFrame:
+    """(dataset, available, row_count, newest) of each table: its rows and the greatest value of its date column."""
+    parts = []
+    for name, path in catalogue.items():
+        table = read_table(spark, path)
+        if table is None:
+            table, newest = spark.createDataFrame([], "x int"), F.lit(None).cast("date")
+            found = F.lit(False)
+        else:
+            newest = F.max(F.col(dates[name]).cast("date")) if name in dates else F.lit(None).cast("date")
+            found = F.lit(True)
+        parts.append(table.agg(F.count(F.lit(1)).alias("row_count"), newest.alias("newest")).select(
+            F.lit(name).alias("dataset"), found.alias("available"), "row_count", "newest"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def health_summary(health: DataFrame) -> DataFrame:
     """One row: 'ok' when any dataset is available, and the date of the newest file."""
     status = F.when(F.max("available"), "ok").otherwise("no_data")

@@ -798,6 +798,14 @@ BODY = {
     "stored_job_graph": "SELECT * FROM t_area",
 }
 BODY["service_types_top"] = BODY["service_types"] + " ORDER BY total_requests DESC, service_name LIMIT 15"
+BODY["dataset_rows"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, true AS available, COUNT(*) AS row_count, {newest} AS newest FROM {name}"
+    for name, newest in {
+        **dict.fromkeys(["region", "nation", "customer", "supplier", "part"], "CAST(NULL AS DATE)"),
+        "orders": "CAST(MAX(o_orderdate) AS DATE)", "lineitem": "CAST(MAX(l_shipdate) AS DATE)", "events": "CAST(MAX(ts) AS DATE)",
+        **dict.fromkeys(["documents", "embeddings", "pages", "benchmark", "labels", "conversations"], "CAST(NULL AS DATE)"),
+    }.items()
+) + " UNION ALL SELECT 'homelessness', false, 0, NULL"
 # Sections of the nested profiles hold what the flat queries give.
 BODY["profile_percentiles"] = "SELECT zip_code, metric, rank, of, percentile FROM t_pct"
 for section, flat in {"comparisons": "vs_average", "narratives": "narrative", "top_categories": "top_categories"}.items():

@@ -644,6 +644,12 @@ def dataset_health(d):
     return files.with_data_date(health.drop("modified"), files.health_summary(health))
 
 
+@query
+def dataset_rows(d):
+    dates = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+    return files.dataset_rows(d.spark, {n: f"{d.folder}/{n}.parquet" for n in TABLE_NAMES}, dates)
+
+
 @query
 def incremental_load(d):
     """Load the orders file through the file stream and read the target back."""
