@@ -33,6 +33,9 @@ CLUSTERED = {
     "trend_business_formation": [KEY, "year"],
     "trend_311_monthly": ["year", "month"],
     "start_histogram": [KEY],
+    "place_percentiles": [KEY],
+    "place_profiles": [KEY],
+    "area_profiles": ["area"],
     "business_age_stats": [KEY],
     "business_age_by_area": ["area"],
     "yearly_series": [KEY],

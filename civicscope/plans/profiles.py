@@ -122,6 +122,24 @@ def _momentum(scores: DataFrame, key: str) -> DataFrame:
 
 
 def place_percentiles(tables: Tables) -> DataFrame:
+    """The stored ranks and percentiles, or those of the tables at hand."""
+    ready = tables.get("place_percentiles")
+    return ranked_places(tables) if ready is None else ready
+
+
+def place_profiles(tables: Tables) -> DataFrame:
+    """The stored nested profiles of places, or those of the tables at hand."""
+    ready = tables.get("place_profiles")
+    return nested_places(tables) if ready is None else ready
+
+
+def area_profiles(tables: Tables) -> DataFrame:
+    """The stored nested profiles of areas, or those of the tables at hand."""
+    ready = tables.get("area_profiles")
+    return nested_areas(tables) if ready is None else ready
+
+
+def ranked_places(tables: Tables) -> DataFrame:
     """Rank and percentile of every known metric of every profiled place.
 
     The growth score ranks among all scored places, the rest among profiled ones;
@@ -167,7 +185,7 @@ def _with_top_age(rows: DataFrame, ages: DataFrame | None, key: str) -> DataFram
     return rows.join(first, key, "left")
 
 
-def place_profiles(tables: Tables) -> DataFrame:
+def nested_places(tables: Tables) -> DataFrame:
     """One nested row per place; sections of absent tables are NULL."""
     profile = tables["neighborhood_profile"]
     averages = tables.get("city_averages")
@@ -296,7 +314,7 @@ def area_narratives(tables: Tables) -> DataFrame:
     )
 
 
-def area_profiles(tables: Tables) -> DataFrame:
+def nested_areas(tables: Tables) -> DataFrame:
     """One nested row per area; sections of absent tables are NULL."""
     profile, mapping = tables["area_profile"], tables["zip_area"]
     averages = tables.get("city_averages")

@@ -320,6 +320,7 @@ SHARED = [
     "momentum_scores",
     "business_age_stats",
     "business_age_by_area",
+    "place_percentiles",
 ]
 
 
@@ -385,6 +386,9 @@ class Tables:
         "momentum_scores",
         "momentum_by_area",
         "zip_centroids",
+        "place_percentiles",
+        "place_profiles",
+        "area_profiles",
     ]
 
     def get(self, name: str) -> DataFrame | None:
@@ -412,6 +416,21 @@ class Tables:
 
     # Builders; each returns None when a needed input is absent.
 
+    def _place_percentiles(self):
+        from civicscope.plans import profiles  # profiles are built from tables
+
+        return None if self.get("neighborhood_profile") is None else profiles.ranked_places(self)
+
+    def _place_profiles(self):
+        from civicscope.plans import profiles
+
+        return None if self.get("neighborhood_profile") is None else profiles.nested_places(self)
+
+    def _area_profiles(self):
+        from civicscope.plans import profiles
+
+        return None if self.get("area_profile") is None else profiles.nested_areas(self)
+
     def _businesses(self):
         return self._source("businesses")
 

@@ -56,6 +56,18 @@ def test_all_possible_tables_are_built(built):
     assert tables["zip_centroids"].count() == 2
 
 
+def test_a_stored_profile_is_one_filtered_scan(spark, built):
+    _, target, config = built
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("profile", "profile")
+    row = open_answers(spark, target, config["tables"]).profile("92101")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = row._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "EqualTo(zip_code,92101)" in plan
+    assert len(jobs.getJobIdsForGroup("profile")) <= 3  # schemas of the files only
+    assert row.first()["zip_code"] == "92101"
+
+
 def test_answers_over_built_tables(spark, built):
     _, target, config = built
     answers = open_answers(spark, target, config["tables"])
