@@ -16,15 +16,19 @@ from pyspark.sql import types as T
 from civicscope.operators.relations import shared_folder
 
 #: Text bytes that one call of a batch function gets at most (one longer row still comes whole).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python: texts may be very long.
+ARROW_BYTES = 4 << 20
 
 
 def reach(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and bound their batches.
 
     On a cluster the package comes with ``--py-files`` or the image; a path that is
     missing there does no harm.
     """
+    if "arrow.maxBytesPerBatch" not in spark.sparkContext.getConf().toDebugString():  # else it is the user's choice
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     here = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in here.split(":"):
