@@ -27,16 +27,16 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicscope.llm.frames import chunks, column, reach, slices, spread, stored, whole_text
-from civicscope.llm.graph import Forest, components
+from civicscope.llm.graph import components
 
 K = 5
 THRESHOLD = 0.8
@@ -46,7 +46,9 @@ MINIMA = 2
 BLOCK_TEXTS, BLOCK_WORDS = 2048, 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch", seed=i) for i in range(256)], np.uint64)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_TOP, _U32 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
+#: Minima that texts of a large group are compared by first, and how many must agree.
+CHECKS, LEAST_ALIKE = 128, 78
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -185,52 +187,39 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return len(j) >= need - 1e-9
 
 
-class _Kmers:
-    """The k-mers of the texts of one block, computed when asked for; at most about 200 MB are kept."""
+def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar in a block; between different sides if there are two.
 
-    def __init__(self, contents):
-        self._contents, self._kept, self._size = contents, OrderedDict(), 0
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        found = self._kept.get(i)
-        if found is None:
-            words = np.frombuffer(self._contents[i].as_buffer(), "<u4")
-            found = self._kept[i] = kmers(words, np.array([0, len(words)]))[1]
-            self._size += found.nbytes
-            while self._size > 200e6:
-                self._size -= self._kept.popitem(last=False)[1].nbytes
-        else:
-            self._kept.move_to_end(i)
-        return found
-
-
-def linked(contents, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links that connect what is similar in a block; between different sides if there are two."""
-    n = len(contents)
-    forest, links, keys = Forest(n), [], _Kmers(contents)
+    A text is compared with all texts before it that are not in its class yet, at once: by
+    length, by minima, and by the number of common k-mers; what is left is aligned.
+    """
+    ends, keys = kmers(words, offsets)
+    sizes, n = np.diff(ends), len(offsets) - 1
+    names = np.unique(keys, return_inverse=True)[1]
+    minima = None
+    if n > 16:
+        minima = np.stack([np.minimum.reduceat(mix(keys ^ _SEEDS[SKETCHES + s]), ends[:-1]) >> _U32 for s in range(CHECKS)], axis=1).astype(np.uint32)
     cross = len(set(side.tolist())) > 1
-    sizes = np.zeros(n, np.int64)
-    minima = np.zeros((n, 64), np.uint32) if n > 16 else None
-    for i in range(n):
-        own = keys[i]
-        sizes[i] = len(own)
-        if minima is not None and len(own):
-            for s in range(64):
-                minima[i, s] = mix(own ^ _SEEDS[64 + s]).min() >> np.uint64(32)
+    owner, marked, links = np.arange(n), np.zeros(int(names.max()) + 1, np.int32), []
     for i in range(1, n):
-        fit = np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i])
+        fit = (owner[:i] != owner[i]) & (np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i]))
         if cross:
             fit &= side[:i] != side[i]
-        if minima is not None:
-            alike = (minima[:i] == minima[i]).sum(1)
-            fit &= alike >= 30
-            others = np.flatnonzero(fit)
-            others = others[np.argsort(-alike[others], kind="stable")]
-        else:
-            others = np.flatnonzero(fit)
-        for j in others.tolist():
-            if forest.root(i) != forest.root(j) and aligned(keys[i], keys[j], threshold):
-                forest.join(i, j)
+        others = np.flatnonzero(fit)
+        if minima is not None and len(others):
+            others = others[(minima[others] == minima[i]).sum(1) >= LEAST_ALIKE]
+        if not len(others):
+            continue
+        own = names[ends[i] : ends[i + 1]]
+        marked[own] = 1
+        per = sizes[others]
+        common = np.add.reduceat(marked[names[spread(ends[others], per)]], np.cumsum(per) - per)
+        marked[own] = 0
+        enough = common >= threshold / (1 + threshold) * (per + sizes[i]) - 1e-9
+        for j in others[enough][np.argsort(-common[enough], kind="stable")].tolist():
+            if owner[i] != owner[j] and aligned(keys[ends[i] : ends[i + 1]], keys[ends[j] : ends[j + 1]], threshold):
+                low, high = sorted((owner[i], owner[j]))
+                owner[owner == high] = low
                 links.append((i, j))
     return links
 
@@ -261,14 +250,16 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", thresh
 
     def compare(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        reps = block.column("rep").combine_chunks()
-        links = linked(block.column("content").combine_chunks(), block.column("side").to_numpy(), threshold)
+        reps, content = block.column("rep").combine_chunks(), block.column("content")
+        words = np.frombuffer(b"".join(content.to_pylist()), "<u4")
+        offsets = np.concatenate([[0], np.cumsum(pc.binary_length(content).to_numpy() // 4)]).astype(np.int64)
+        links = linked(words, offsets, block.column("side").to_numpy(), threshold)
         take = lambda k: reps.take(pa.array([x[k] for x in links], pa.int64()))
         return pa.table({"a": take(0), "b": take(1)})
 
-    wanted = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    wanted = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     worded = wanted.mapInArrow(contents, f"rep {kind}, content binary")
-    edges = members.join(worded, "rep").select("key", "lo", "hi", "rep", "side", "content").groupBy("key", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
+    edges = members.join(worded.hint("merge"), "rep").select("key", "lo", "hi", "rep", "side", "content").groupBy("key", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
     classes = components(edges)
     named = firsts.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     # min over rows that share an id but not their words
