@@ -5,9 +5,11 @@ labelled with how often it occurred before in the text, so that all are differen
 takes the k-mers with the smallest hashes and keeps them in text order; texts that agree in one
 of ``SKETCHES`` sketches are candidates.  Texts with the same words are one candidate only.
 
-Similarity is aligned k-mers over all k-mers: a pair's common k-mers are aligned inside a band
-(the longest chain that increases in both texts, no further off the diagonal than the allowed
-number of unaligned k-mers), and matched / (n1 + n2 - matched) must reach ``THRESHOLD``.
+Similarity is aligned k-mers over all k-mers: a pair's k-mers are aligned inside a band (the
+longest common subsequence, no further off the diagonal than the allowed number of unaligned
+k-mers), and matched / (n1 + n2 - matched) must reach ``THRESHOLD``.  Labels play no part in it:
+a repeated k-mer may be aligned with any occurrence.  The chain of labelled k-mers is never
+longer and is looked at first, since it is cheap.
 
 Inside a group of candidates, pairs already in one class are not compared again, others are first
 compared by length, in large groups by 64 minima (a pair of similarity 0.8 fails that with
@@ -44,6 +46,8 @@ SKETCHES = 12
 MINIMA = 2
 #: A block of a group holds about so many texts and words at most.
 BLOCK_TEXTS, BLOCK_WORDS = 2048, 4_000_000
+#: K-mers of a text that are aligned at a time.
+ROWS = 1024
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch", seed=i) for i in range(256)], np.uint64)
 _TOP, _U32 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
@@ -88,8 +92,8 @@ class Words:
         return np.concatenate([[0], np.cumsum(per)])[offsets], flat
 
 
-def kmers(words: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and occurrence-labelled hashes of each text's k-mers, in text order."""
+def kmers(words: np.ndarray, offsets: np.ndarray, k: int = K, labelled: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and hashes of each text's k-mers, in text order; occurrence-labelled unless told not to."""
     n = np.diff(offsets)
     counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -99,6 +103,8 @@ def kmers(words: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarra
     for j in range(k):
         word = words[np.minimum(at + j, last)].astype(np.uint64)
         value = np.where(at + j <= last, mix(value * np.uint64(0x9E3779B97F4A7C15) + word), value)
+    if not labelled:
+        return ends, value
     doc = np.repeat(np.arange(len(n)), counts)
     apart = mix(value + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     order = np.argsort(apart, kind="stable")
@@ -162,6 +168,47 @@ def prepared(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, digest binary, n_words long, keys array<long>")
 
 
+def common_subsequence(a: np.ndarray, b: np.ndarray, below: int, above: int) -> int:
+    """Length of the longest common subsequence with matches at i - below <= j <= i + above only.
+
+    Bit-parallel: a zero at j says that b[j] lengthens the subsequence.  Rows are taken ``ROWS`` at
+    a time, with the columns that the band reaches; those before have no matches any more, those
+    behind had none yet, so neither changes.
+    """
+    bits = np.ones(len(b), bool)
+    for top in range(0, len(a), ROWS):
+        rows = a[top : top + ROWS]
+        lo, hi = max(0, top - below), min(len(b), top + len(rows) + above)
+        if lo >= hi:
+            continue
+        names, row_of = np.unique(rows, return_inverse=True)
+        place = np.searchsorted(names, b[lo:hi])
+        place[names[np.minimum(place, len(names) - 1)] != b[lo:hi]] = len(names)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(len(names) + 1)).tolist()
+        masks: list[int] = []
+        for x, y in zip(cuts, cuts[1:]):
+            if y - x == 1:
+                masks.append(1 << int(order[x]))
+            else:
+                hit = np.zeros(hi - lo, bool)
+                hit[order[x:y]] = True
+                masks.append(int.from_bytes(np.packbits(hit, bitorder="little").tobytes(), "little"))
+        full = (1 << (hi - lo)) - 1
+        v = int.from_bytes(np.packbits(bits[lo:hi], bitorder="little").tobytes(), "little")
+        window = (1 << (below + above + 1)) - 1
+        for i, r in enumerate(row_of.tolist(), top):
+            mask = masks[r]
+            if not mask:
+                continue
+            left = i - below - lo  # first column of the row's band
+            u = v & mask & (window << left if left >= 0 else window >> -left)
+            if u:
+                v = ((v + u) | (v - u)) & full
+        bits[lo:hi] = np.unpackbits(np.frombuffer(v.to_bytes((hi - lo + 7) // 8, "little"), np.uint8), count=hi - lo, bitorder="little").astype(bool)
+    return int(len(b) - bits.sum())
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     """Whether two texts' k-mers, in text order, align to at least the threshold."""
     n, m = len(a), len(b)
@@ -170,11 +217,16 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     need = threshold / (1 + threshold) * (n + m)
     if np.array_equal(a, b):
         return True
+    # so many k-mers of a and of b may stay unaligned, so a match is no further off the diagonal
+    below, above = int(n - need + 1e-9), int(m - need + 1e-9)
+    if below < 0 or above < 0:
+        return False
+    if len(np.unique(a)) < n or len(np.unique(b)) < m:
+        return common_subsequence(a, b, below, above) >= need - 1e-9
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if len(both) < need - 1e-9:
         return False
-    band = max(n, m) - need + 1e-9
-    near = np.abs(i - j) <= band
+    near = (i - j <= below) & (j - i <= above)
     i, j = i[near], j[near]
     order = np.argsort(i)
     j = j[order]
@@ -196,6 +248,13 @@ def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold:
     ends, keys = kmers(words, offsets)
     sizes, n = np.diff(ends), len(offsets) - 1
     names = np.unique(keys, return_inverse=True)[1]
+
+    def similar(i: int, j: int) -> bool:
+        if aligned(keys[ends[i] : ends[i + 1]], keys[ends[j] : ends[j + 1]], threshold):
+            return True
+        bare = [kmers(words[offsets[x] : offsets[x + 1]], np.array([0, offsets[x + 1] - offsets[x]]), labelled=False)[1] for x in (i, j)]
+        return any(len(np.unique(x)) < len(x) for x in bare) and aligned(*bare, threshold)
+
     minima = None
     if n > 16:
         minima = np.stack([np.minimum.reduceat(mix(keys ^ _SEEDS[SKETCHES + s]), ends[:-1]) >> _U32 for s in range(CHECKS)], axis=1).astype(np.uint32)
@@ -217,7 +276,7 @@ def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold:
         marked[own] = 0
         enough = common >= threshold / (1 + threshold) * (per + sizes[i]) - 1e-9
         for j in others[enough][np.argsort(-common[enough], kind="stable")].tolist():
-            if owner[i] != owner[j] and aligned(keys[ends[i] : ends[i + 1]], keys[ends[j] : ends[j + 1]], threshold):
+            if owner[i] != owner[j] and similar(i, j):
                 low, high = sorted((owner[i], owner[j]))
                 owner[owner == high] = low
                 links.append((i, j))

@@ -144,6 +144,50 @@ def test_near_classes_against_all_pairs(spark, monkeypatch, block):
     assert got == dict(enumerate(want))
 
 
+def repetitive(rng):
+    """Texts with a line or passage that recurs, each with edited copies: early recurrences gone, moved or changed."""
+    some = lambda n: " ".join("w%d" % k for k in rng.integers(0, 9000, n))
+    texts = []
+    for n_parts, n_line, n_part in ((10, 12, 40), (8, 30, 30)):
+        line, parts = some(n_line), [some(n_part) for _ in range(n_parts)]
+        whole = [x for part in parts for x in (line, part)]
+        texts += [" ".join(whole), " ".join(whole[1:]), " ".join(whole[:2] + whole[3:]), " ".join([line, *whole])]
+        texts += [varied(rng, texts[-3], 1), " ".join(parts), " ".join([line] * n_parts + parts)]
+    passage = some(60)
+    return texts + [" ".join([passage] * 10 + [some(8)]), " ".join([some(8)] + [passage] * 10), " ".join([passage] * 5 + [some(4)] + [passage] * 5), " ".join([passage] * 7)]
+
+
+def test_near_classes_of_repetitive_texts(spark):
+    texts = repetitive(np.random.default_rng(5))
+    want = brute_classes(texts)
+    assert want[1] == want[0] and want[8] == want[7]  # a first recurring line is gone
+    got = order_minhash.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("rows", [1024, 3])
+def test_alignment_of_repeated_runs_against_brute_force(monkeypatch, rows):
+    monkeypatch.setattr(order_minhash, "ROWS", rows)
+    rng = np.random.default_rng(6)
+    found = Counter()
+    for _ in range(500):
+        kinds = int(rng.choice([1, 2, 5, 30]))
+        a = rng.integers(0, kinds, int(rng.integers(1, 40))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 6))):
+            k = int(rng.integers(len(b) + 1))
+            b[k : k + 1] = [[], [int(rng.integers(kinds))], [*b[k : k + 1], int(rng.integers(kinds))]][int(rng.integers(3))]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(row[-1], last[k + 1]))
+        want = bool(b) and row[-1] >= 0.8 * (len(a) + len(b) - row[-1]) - 1e-9
+        assert order_minhash.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == want
+        found[want] += 1
+    assert min(found[True], found[False]) > 50
+
+
 def test_near_classes_of_edge_rows(spark, edges):
     got = [(r.doc_id, r.class_id) for r in order_minhash.near_classes(edges).collect()]
     assert sorted(got, key=lambda x: (x[0] is None, x[0] or 0)) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 1), (6, 6), (7, 7), (None, None)]
