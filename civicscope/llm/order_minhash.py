@@ -12,8 +12,8 @@ a repeated k-mer may be aligned with any occurrence.  The chain of labelled k-me
 longer and is looked at first, since it is cheap.
 
 Inside a group of candidates, pairs already in one class are not compared again, others are first
-compared by length, in large groups by 64 minima (a pair of similarity 0.8 fails that with
-probability below 1e-8), then by the number of common k-mers, which bounds the aligned number.
+compared by length, then by the number of common k-mers, which bounds the aligned number; both
+are exact, whatever the size of the group.
 Groups with the same members are handled once; a group too large for one task is cut into
 blocks, and every pair of blocks is compared, so no candidate pair is left out.
 
@@ -50,9 +50,7 @@ BLOCK_TEXTS, BLOCK_WORDS = 2048, 4_000_000
 ROWS = 1024
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch", seed=i) for i in range(256)], np.uint64)
-_TOP, _U32 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
-#: Minima that texts of a large group are compared by first, and how many must agree.
-CHECKS, LEAST_ALIKE = 128, 78
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -243,7 +241,8 @@ def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold:
     """Links that connect what is similar in a block; between different sides if there are two.
 
     A text is compared with all texts before it that are not in its class yet, at once: by
-    length, by minima, and by the number of common k-mers; what is left is aligned.
+    length and by the number of common k-mers; what is left is aligned.  Common k-mers are counted
+    in the lists of texts of the own k-mers, or in those of the other texts if these are fewer.
     """
     ends, keys = kmers(words, offsets)
     sizes, n = np.diff(ends), len(offsets) - 1
@@ -255,9 +254,13 @@ def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold:
         bare = [kmers(words[offsets[x] : offsets[x + 1]], np.array([0, offsets[x + 1] - offsets[x]]), labelled=False)[1] for x in (i, j)]
         return any(len(np.unique(x)) < len(x) for x in bare) and aligned(*bare, threshold)
 
-    minima = None
-    if n > 16:
-        minima = np.stack([np.minimum.reduceat(mix(keys ^ _SEEDS[SKETCHES + s]), ends[:-1]) >> _U32 for s in range(CHECKS)], axis=1).astype(np.uint32)
+    order = np.argsort(names, kind="stable")
+    holder = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]  # texts by k-mer, ascending
+    per_name = np.bincount(names)
+    starts = np.cumsum(per_name) - per_name
+    before = np.empty(len(names), np.int32)  # texts before its own that hold a k-mer
+    before[order] = np.arange(len(names)) - np.repeat(starts, per_name)
+    del order
     cross = len(set(side.tolist())) > 1
     owner, marked, links = np.arange(n), np.zeros(int(names.max()) + 1, np.int32), []
     for i in range(1, n):
@@ -265,15 +268,16 @@ def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold:
         if cross:
             fit &= side[:i] != side[i]
         others = np.flatnonzero(fit)
-        if minima is not None and len(others):
-            others = others[(minima[others] == minima[i]).sum(1) >= LEAST_ALIKE]
         if not len(others):
             continue
         own = names[ends[i] : ends[i + 1]]
-        marked[own] = 1
-        per = sizes[others]
-        common = np.add.reduceat(marked[names[spread(ends[others], per)]], np.cumsum(per) - per)
-        marked[own] = 0
+        per, shared = sizes[others], before[ends[i] : ends[i + 1]]
+        if shared.sum() <= per.sum():
+            common = np.bincount(holder[spread(starts[own], shared)], minlength=i)[others]
+        else:
+            marked[own] = 1
+            common = np.add.reduceat(marked[names[spread(ends[others], per)]], np.cumsum(per) - per)
+            marked[own] = 0
         enough = common >= threshold / (1 + threshold) * (per + sizes[i]) - 1e-9
         for j in others[enough][np.argsort(-common[enough], kind="stable")].tolist():
             if owner[i] != owner[j] and similar(i, j):

@@ -165,6 +165,24 @@ def test_near_classes_of_repetitive_texts(spark):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
 
 
+def test_a_pair_is_found_in_a_group_of_any_size():
+    rng = np.random.default_rng(8)
+    first = [*range(44), 89247129, 895399600, 1070790102, 898401311, 426861224]  # 40 of 50 runs in common, but few of 128 minima
+    second = [*range(44), 2090079912, 1662348516, 2003567748, 662623641, 1718655300]
+    for more in (0, 20):
+        words = np.array([first, second, *rng.integers(0, 2**31, (more, 49)).tolist()], np.uint32)
+        assert order_minhash.linked(words.ravel(), np.arange(len(words) + 1) * 49, np.zeros(len(words), int), 0.8) == [(1, 0)]
+
+
+def test_common_runs_are_counted_the_same_either_way():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**31, (4, 60))
+    words = np.array([np.where(rng.random(60) < 0.01, 7, base[k % 4]) for k in range(80)], np.uint32)
+    found = order_minhash.linked(words.ravel(), np.arange(81) * 60, np.zeros(80, int), 0.8)
+    pairs = [(i, j) for i in range(80) for j in range(i) if order_minhash.linked(words[[j, i]].ravel(), np.array([0, 60, 120]), np.zeros(2, int), 0.8)]
+    assert classes_of(80, found) == classes_of(80, pairs)
+
+
 @pytest.mark.parametrize("rows", [1024, 3])
 def test_alignment_of_repeated_runs_against_brute_force(monkeypatch, rows):
     monkeypatch.setattr(order_minhash, "ROWS", rows)
