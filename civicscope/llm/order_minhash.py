@@ -21,7 +21,8 @@ A pair of similarity 0.8 shares no sketch with probability about 0.36**12 = 5e-6
 
 Defined cases: null text counts as empty; texts without words are alike only if equal; texts of
 fewer than five words have one k-mer, all their words; rows that share an id share a class; rows
-with a null id get a null class; extra columns play no part; empty in, empty out.
+with a null id are not compared, each comes back with a null class; extra columns play no part;
+empty in, empty out.
 """
 
 from __future__ import annotations
@@ -288,7 +289,10 @@ def linked(words: np.ndarray, offsets: np.ndarray, side: np.ndarray, threshold:
 
 
 def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id): class_id is the smallest id among the near duplicates of a text, itself included."""
+    """(id, class_id): class_id is the smallest id among the near duplicates of a text, itself included.
+
+    One row per id, and one per row with a null id: such rows are not compared and have no class.
+    """
     spark = reach(docs.sparkSession)
     ready = stored(prepared(docs, id, text))
     kind = ready.schema["id"].dataType.simpleString()
@@ -327,5 +331,5 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", thresh
     named = firsts.select("digest", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     # min over rows that share an id but not their words
     out = ready.select("id", "digest").filter("id IS NOT NULL").join(named, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    nulls = ready.filter("id IS NULL").select("id", F.lit(None).cast(kind).alias("class_id")).limit(1)
+    nulls = ready.filter("id IS NULL").select("id", F.lit(None).cast(kind).alias("class_id"))
     return out.unionByName(nulls).select(F.col("id").alias(id), "class_id")

@@ -212,6 +212,12 @@ def test_near_classes_of_edge_rows(spark, edges):
     assert order_minhash.near_classes(edges.filter("false")).count() == 0
 
 
+def test_every_row_with_a_null_id_comes_back(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (1, "a b c d e f"), (2, "A b c d e f!")]
+    got = order_minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id or 0, r.class_id or 0) for r in got)) == [(0, 0), (0, 0), (0, 0), (1, 1), (2, 1)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 12), max_size=40), st.lists(st.integers(0, 12), max_size=40))
 def test_alignment_is_the_longest_common_subsequence(a, b):
