@@ -641,7 +641,8 @@ def work_folder(spark: SparkSession) -> str:
 @query
 def dataset_health(d):
     health = files.dataset_health(d.spark, {n: f"{d.folder}/{n}.parquet" for n in TABLE_NAMES})
-    return files.with_data_date(health.drop("modified"), files.health_summary(health))
+    listed = files.with_data_date(health.drop("modified"), files.health_summary(health))
+    return listed.join(dataset_rows(d).drop("available"), "dataset", "left")
 
 
 @query

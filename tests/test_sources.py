@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicscope.operators.relations import shared_folder
 from civicscope.sources import files
 from civicscope.streaming.incremental import load_new_files
+from standins import queries
 
 
 def test_text_files_with_different_layouts(spark, tmp_path):
@@ -36,6 +37,15 @@ def test_catalogue_skips_missing_tables(spark, tmp_path):
     assert tuple(files.health_summary(nothing).first()) == ("no_data", None)
 
 
+def test_health_query_reads_the_tables(domain):
+    rows = {r["dataset"]: r for r in queries.dataset_health(domain).collect()}
+    assert len(rows) == len(queries.TABLE_NAMES) and all(r["data_as_of"] for r in rows.values())
+    for name in ("orders", "documents"):
+        assert rows[name]["files"] == 1 and rows[name]["row_count"] == domain.read(name).count()
+    assert rows["orders"]["newest"] == domain.read("orders").agg(F.max("o_orderdate").cast("date")).first()[0]
+    assert all(r["available"] == (r["row_count"] > 0) for r in rows.values())
+
+
 def test_sorted_write_reports_rows(spark, tmp_path):
     frame = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     assert files.write_sorted(frame, str(tmp_path / "out"), ["k"], files=3) == 1000
