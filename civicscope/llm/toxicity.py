@@ -79,12 +79,12 @@ def mine_stems(sample: DataFrame, max_stems: int = MAX_STEMS) -> list[str]:
     total, bad = size["n"], size["bad"] or 0
     if not bad or bad == total:
         return []
-    counted = sample.mapInArrow(count, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= 4)
-    counted = counted.withColumn("n", F.col("bad") + F.col("good"))
+    every = stored(sample.mapInArrow(count, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    looked_at = every.count()
+    counted = every.filter(F.col("bad") >= 4).withColumn("n", F.col("bad") + F.col("good"))
     base = bad / total
     share = F.col("bad") / F.col("n")
     gain = F.col("bad") * F.log(share / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    looked_at = 50_000
     kept = counted.filter((share >= 0.9) & (gain >= float(np.log(looked_at) + 3))).orderBy(gain.desc(), "stem").limit(max_stems)
     return [r["stem"] for r in kept.select("stem").collect()]
 

@@ -49,6 +49,15 @@ def test_no_label_of_a_held_out_row_is_used(spark):
     assert a.voters.stems == b.voters.stems and np.allclose(a.weights, b.weights)
 
 
+def test_significance_follows_the_number_of_stems(spark):
+    def mined(n_bad, others):
+        rows = [(k, "zorbling", 1) for k in range(n_bad)] + [(n_bad + k, " ".join(others[k::n_bad]), 0) for k in range(n_bad)]
+        return toxicity.mine_stems(spark.createDataFrame(rows, "id long, text string, label int"))
+
+    assert "zorbling$" in mined(12, ["one", "two"] * 12)  # 12 log 2 is enough for a handful of stems
+    assert mined(20, [f"{k:06d}" for k in range(120_000)]) == []  # 20 log 2 is not for over 100,000
+
+
 def test_real_labels_at_small_scale(spark, small):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
