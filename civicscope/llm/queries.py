@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import binary_codes, bpe_tree, divergence, line_templates, order_minhash, packing, parsing, preferences, quality, range_coder, toxicity
+from civicscope.llm import binary_codes, bpe_tree, divergence, license_rules, license_scan, line_templates, order_minhash, packing, parsing, preferences, quality, range_coder, toxicity
 from civicscope.llm.frames import held_out, reach
 from civicscope.operators.relations import shared_folder
 
@@ -191,3 +191,53 @@ rows AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op13_license_scan(spark, folder):
+    return license_scan.license_labels(table(spark, folder, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RULES = ", ".join(f"({k}, {_quoted(r.label)}, {r.priority}, {_quoted(r.keyword)}, {_quoted(r.regex)}, {r.base})" for k, r in enumerate(license_rules.rules()))
+
+ORACLE["op13_license_scan"] = (
+    f"WITH rules(rule, label, priority, keyword, regex, base) AS (VALUES {_RULES}),"
+    + r"""
+docs AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+put AS (SELECT doc, list_aggregate(list_transform(words, lambda w: ' ' || w || ' '), 'string_agg', '') AS words FROM docs),
+hits AS (
+  SELECT doc, rule, string_split_regex(words, regex) AS gaps, regexp_extract_all(words, regex) AS found
+  FROM put JOIN rules ON contains(words, ' ' || keyword) AND regexp_matches(words, regex)),
+spans AS (
+  SELECT doc, rule, generate_subscripts(found, 1) AS k, unnest(found) AS found, unnest(gaps[1:len(found)]) AS gap FROM hits),
+sized AS (
+  SELECT doc, rule, k, (length(found) - length(replace(found, ' ', ''))) // 2 AS size,
+         (length(gap) - length(replace(gap, ' ', ''))) // 2 AS gap FROM spans),
+placed AS (
+  SELECT doc, rule, k, label, priority, base,
+         CAST(sum(gap + size) OVER (PARTITION BY doc, rule ORDER BY k) AS BIGINT) - size AS a,
+         CAST(sum(gap + size) OVER (PARTITION BY doc, rule ORDER BY k) AS BIGINT) AS z
+  FROM sized JOIN rules USING (rule)),
+resolved AS (
+  SELECT *, NOT EXISTS (
+    SELECT 1 FROM placed o WHERE o.doc = p.doc AND o.a <= p.a AND o.z >= p.z
+      AND (o.priority > p.priority OR o.priority = p.priority AND (o.z - o.a > p.z - p.a OR o.z - o.a = p.z - p.a AND o.rule < p.rule))) AS kept
+  FROM placed p),
+summed AS (
+  SELECT doc, count(*) FILTER (WHERE base) AS n_base, min(a) FILTER (WHERE base) AS first_word, max(a) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base OR kept) AS labels,
+         max(priority / 4) FILTER (WHERE kept) AS score
+  FROM resolved GROUP BY doc)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN summed USING (doc)
+"""
+)
