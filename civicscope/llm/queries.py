@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicscope.llm import binary_codes, bpe_tree, divergence, license_rules, license_scan, line_templates, order_minhash, packing, parsing, preferences, quality, range_coder, toxicity
+from civicscope.llm import alignment, binary_codes, bpe_tree, divergence, license_rules, license_scan, line_templates, order_minhash, packing, parsing, preferences, quality, range_coder, toxicity
 from civicscope.llm.frames import held_out, reach
 from civicscope.operators.relations import shared_folder
 
@@ -241,3 +241,9 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_b
 FROM docs LEFT JOIN summed USING (doc)
 """
 )
+
+
+@query
+def op12_alignment(spark, folder):
+    docs = table(spark, folder, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
