@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +125,20 @@ def nearby(
     return found if include_self else found.filter(F.col(key) != value)
 
 
-def nearby_top(
+def _cells(df: DataFrame, level: int, depth: int, row: str = "cell_row", col: str = "cell_col") -> DataFrame:
+    """The cells of a level, from the finest ones; cells of the next level are their quarters."""
+    fine = {row: "fine_row", col: "fine_col"}
+    return df.withColumns({name: F.shiftright(f, depth - level) for name, f in fine.items()})
+
+
+def _beats(score: str, key: str) -> Column:
+    """A place that comes before the mark, the n-th certain neighbour, if there is one."""
+    mark, mark_key = F.col("_mark"), F.col("_mark_key")
+    before = (F.col(score) > mark) | (mark.isNull() & F.col(score).isNotNull())
+    return mark_key.isNull() | before | (F.col(score).eqNullSafe(mark) & (F.col(key) < mark_key))
+
+
+def neighbour_candidates(
     places: DataFrame,
     key: str,
     score: str,
@@ -132,27 +146,25 @@ def nearby_top(
     reach: float = NEARBY_DEG,
     n: int = 20,
     salts: int = 32,
+    tested: int = 512,
+    depth: int = 12,
 ) -> DataFrame:
-    """For every place, its n best neighbours by score (self included), exactly.
-
-    Far fewer pairs than all are listed.  Space is cut into cells of reach/3:
-
-    * places in the 3x3 cells around a centre's cell are certainly within reach, so
-      the n best of each such cell are enough for every centre of the cell;
-    * places in the outer ring are tested one by one, but only those that would
-      beat the n-th certain neighbour of the cell.  A cell whose 3x3 block holds
-      fewer than n places keeps the whole ring; it then has fewer than n centres
-      itself.
-
-    Not bounded is the case of a crowded cell of low scores whose ring holds many
-    higher ones: all of these are tested against all of its centres.
-
-    ``places`` has the key, ``lat``, ``lng``, the score and ``by`` columns, one row
-    per key and ``by`` value.  Ties go by key.
+    """(by, key, lat, lng, near_*) rows among which are every place's n best neighbours.
+
+    Space is cut into cells of reach/3, halved from level to level.  A pair of a centre cell and a
+    place cell is *inside* (all of one are near all of the other), *outside*, or crossed by the
+    edge of somebody's reach.  Inside pairs offer the n best of the place cell; the n best offers
+    are *certain* neighbours of all centres of the cell, the last of them its mark.  Crossed pairs
+    whose best place does not beat the mark are done.  Of the others, pairs of at most ``tested``
+    (centre, place) combinations are tested place by place, larger ones descend: quarters of both
+    cells form the pairs of the next level, and the centres' quarters inherit what is certain.
+
+    So a crowded cell offers n rows wherever it lies wholly within reach, and what remains crossed
+    gets thinner by half each time.  At ``depth`` (cells of reach/3/2**depth) all is tested.
+    Places at one spot are represented by its n best.  ``by`` rows and keys as in `nearby_top`.
     """
-    step = reach / 3
     by = list(by)
-    cell = [*by, "cell_row", "cell_col"]
+    fine = F.lit(3 * (1 << depth) / reach)
     located = settled(
         places.select(
             *by,
@@ -160,62 +172,100 @@ def nearby_top(
             "lat",
             "lng",
             F.col(score).alias("score"),
-            F.floor(F.col("lat") / F.lit(step)).alias("cell_row"),
-            F.floor(F.col("lng") / F.lit(step)).alias("cell_col"),
+            F.floor(F.col("lat") * fine).alias("fine_row"),
+            F.floor(F.col("lng") * fine).alias("fine_col"),
         )
     )
     best = [F.col("score").desc_nulls_last(), F.col(key).asc()]
-    cells = located.select(*cell).distinct()
-
-    def shifts(low: int, high: int) -> Column:
-        """Row and column offsets with low <= max(|row|, |col|) <= high."""
-        span = range(-high, high + 1)
-        pairs = [(r, c) for r in span for c in span if max(abs(r), abs(c)) >= low]
-        return F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in pairs])
-
-    def shifted(df: DataFrame, low: int, high: int, row: str, col: str) -> DataFrame:
-        moved = df.withColumn("_shift", F.explode(shifts(low, high)))
-        moved = moved.withColumn(row, F.col("cell_row") + F.col("_shift.r"))
-        return moved.withColumn(col, F.col("cell_col") + F.col("_shift.c")).drop("_shift")
-
-    # Places at one spot share their neighbourhoods, so its n best stand for the spot.
-    eligible = top_n(located, [*cell, "lat", "lng"], best, n)
-    # n best of each cell, offered to the 3x3 centre cells around it.
-    champions = top_n(eligible, cell, best, n)
-    offered = shifted(champions, 0, 1, "to_row", "to_col").drop("cell_row", "cell_col")
-    offered = offered.withColumnsRenamed({"to_row": "cell_row", "to_col": "cell_col"})
-    offered = offered.join(cells, cell, "left_semi")
-    certain = top_n(offered, cell, best, n, "_position")
-
-    # The n-th certain neighbour is the mark a ring place has to beat.
-    nth = certain.filter(F.col("_position") == n).select(
-        *cell, F.col("score").alias("_mark"), F.col(key).alias("_mark_key")
-    )
-    wanted = shifted(cells.join(nth, cell, "left"), 2, 4, "at_row", "at_col")
-    wanted = wanted.withColumnsRenamed({"cell_row": "to_row", "cell_col": "to_col"})
-    wanted = wanted.withColumnsRenamed({"at_row": "cell_row", "at_col": "cell_col"})
-    beats = (
-        F.col("_mark_key").isNull()
-        | (F.col("score") > F.col("_mark"))
-        | ((F.col("score") == F.col("_mark")) & (F.col(key) < F.col("_mark_key")))
-    )
-    hot = hot_keys(located, cell)
-    # No centre of the cell is nearer than the cell's edge (a hair is left for rounding).
-    reachable = F.lit(True)
-    for value, row in (("lat", "to_row"), ("lng", "to_col")):
-        low = F.col(row) * F.lit(step) - F.lit(reach + 1e-6)
-        high = (F.col(row) + 1) * F.lit(step) + F.lit(reach + 1e-6)
-        reachable = reachable & F.col(value).between(low, high)
-    ring = skew_join(eligible, wanted, cell, [key], hot, salts).filter(beats & reachable)
-    ring = ring.drop("cell_row", "cell_col", "_mark", "_mark_key")
-    ring = ring.withColumnsRenamed({"to_row": "cell_row", "to_col": "cell_col"})
-
-    candidates = certain.drop("_position").unionByName(ring)
-    candidates = candidates.withColumnsRenamed(
-        {key: "near_key", "lat": "near_lat", "lng": "near_lng", "score": "near_score"}
-    )
-    centres = located.drop("score")
-    pairs = skew_join(centres, candidates, cell, [key], hot, salts).filter(
+    eligible = top_n(located, [*by, "lat", "lng"], best, n)
+    cell, near = [*by, "cell_row", "cell_col"], [*by, "near_row", "near_col"]
+    near_names = {"cell_row": "near_row", "cell_col": "near_col"}
+    parent = {"cell_row": "up_row", "cell_col": "up_col"}
+    up = [*by, "up_row", "up_col"]
+    found, crossed, certain = [], None, None
+
+    for level in range(depth + 1):
+        edge = 3 << level  # cells that the reach spans
+        centres, spots = _cells(located, level, depth), _cells(eligible, level, depth)
+        if level:
+            centres = _cells(centres, level - 1, depth, "up_row", "up_col")
+            spots = _cells(spots, level - 1, depth, "up_row", "up_col")
+            centres = centres.join(crossed.select(*cell).withColumnsRenamed(parent).distinct(), up, "left_semi")
+            above = crossed.select(*near).withColumnsRenamed({v: parent[k] for k, v in near_names.items()})
+            spots = spots.join(above.distinct(), up, "left_semi")
+        family = [*cell, *(["up_row", "up_col"] if level else [])]
+        own = settled(centres.groupBy(*family).agg(F.count(F.lit(1)).alias("_centres")))
+        champions = top_n(spots, cell, best, n, "_position")
+        counts = spots.groupBy(*family).agg(F.count(F.lit(1)).alias("_spots"))
+        first = champions.filter("_position = 1").select(*cell, F.col("score").alias("_best"), F.col(key).alias("_best_key"))
+        around = counts.join(first, cell).withColumnsRenamed(near_names)
+        if level:
+            around = around.withColumnsRenamed({"up_row": "near_up_row", "up_col": "near_up_col"})
+            open_ = crossed.select(*cell, *near[len(by) :])
+            open_ = open_.withColumnsRenamed(parent | {"near_row": "near_up_row", "near_col": "near_up_col"})
+            pairs = open_.join(own, up).join(around, [*by, "near_up_row", "near_up_col"])
+        else:
+            span = [F.lit(k) for k in range(-edge - 1, edge + 2)]
+            listed = own.withColumn("_r", F.explode(F.array(*span))).withColumn("_c", F.explode(F.array(*span)))
+            listed = listed.withColumns({"near_row": F.col("cell_row") + F.col("_r"), "near_col": F.col("cell_col") + F.col("_c")})
+            pairs = listed.join(around, near)
+        apart = F.greatest(*[F.abs(F.col(f"near_{x}") - F.col(f"cell_{x}")) for x in ("row", "col")])
+        pairs = pairs.withColumn("_apart", apart).filter(F.col("_apart") <= edge + 1)
+        pairs = settled(pairs.select(*cell, *near[len(by) :], "_centres", "_spots", "_best", "_best_key", "_apart"))
+
+        # A whole cell of margin on either side: rounding never decides.
+        inside = pairs.filter(F.col("_apart") <= edge - 2).select(*cell, *near[len(by) :])
+        offers = inside.join(champions.drop("_position", "fine_row", "fine_col", "up_row", "up_col").withColumnsRenamed(near_names), near)
+        offers = offers.select(*cell, key, "lat", "lng", "score")
+        if level:
+            offers = offers.unionByName(certain.withColumnsRenamed(parent).join(own.select(*family), up).select(*cell, key, "lat", "lng", "score"))
+        certain = settled(top_n(offers, cell, best, n, "_position"))
+        nth = certain.filter(F.col("_position") == n).select(*cell, F.col("score").alias("_mark"), F.col(key).alias("_mark_key"))
+        certain = certain.drop("_position")
+        edges = pairs.filter(F.col("_apart") > edge - 2).join(nth, cell, "left")
+        edges = settled(edges.filter(_beats("_best", "_best_key")))
+        small = F.lit(level == depth) | (F.col("_centres") * F.col("_spots") <= tested)
+        crossed = edges.filter(~small)
+        on = crossed.limit(1).count() > 0
+
+        hot = hot_keys(spots, cell)
+        moved = spots.select(*cell, key, "lat", "lng", "score").withColumnsRenamed(near_names)
+        probes = edges.filter(small).select(*cell, *near[len(by) :], "_mark", "_mark_key")
+        rest = skew_join(moved, probes, near, [key], hot.withColumnsRenamed(near_names), salts).filter(_beats("score", key))
+        # No centre of the cell is nearer than the cell's edge (a hair is left for rounding).
+        size = reach / edge
+        for value, index in (("lat", "cell_row"), ("lng", "cell_col")):
+            low = F.col(index) * F.lit(size) - F.lit(reach + 1e-9 + size / 1000)
+            high = (F.col(index) + 1) * F.lit(size) + F.lit(reach + 1e-9 + size / 1000)
+            rest = rest.filter(F.col(value).between(low, high))
+        final = certain.join(crossed.select(*cell).distinct(), cell, "left_anti") if on else certain
+        rows = final.unionByName(rest.select(*cell, key, "lat", "lng", "score"))
+        rows = rows.withColumnsRenamed({key: "near_key", "lat": "near_lat", "lng": "near_lng", "score": "near_score"})
+        mine = _cells(located, level, depth).select(*cell, key, "lat", "lng")
+        crowd = own.filter(F.col("_centres") * 1000 > own.agg(F.sum("_centres")).scalar()).select(*cell)
+        found.append(skew_join(mine, settled(rows), cell, [key], crowd, salts).drop("cell_row", "cell_col"))
+        if not on:
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearby_top(
+    places: DataFrame,
+    key: str,
+    score: str,
+    by: Sequence[str] = (),
+    reach: float = NEARBY_DEG,
+    n: int = 20,
+    salts: int = 32,
+    tested: int = 512,
+) -> DataFrame:
+    """For every place, its n best neighbours by score (self included), exactly.
+
+    ``places`` has the key, ``lat``, ``lng``, the score and ``by`` columns, one row
+    per key and ``by`` value.  Ties go by key; ``tested`` as in `neighbour_candidates`.
+    """
+    by = list(by)
+    pairs = neighbour_candidates(places, key, score, by, reach, n, salts, tested).filter(
         near_centre(F.col("near_lat"), F.col("near_lng"), F.col("lat"), F.col("lng"), reach)
     )
     order = [F.col("near_score").desc_nulls_last(), F.col("near_key").asc()]

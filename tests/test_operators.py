@@ -211,6 +211,32 @@ def test_nearby_top_equals_brute_force(spark, monkeypatch, seed, n, spread, keep
     assert {tuple(r) for r in got.select("c", "k", "position", "near_key", "n").collect()} == want
 
 
+@pytest.mark.parametrize("seed,n,spread,tested", [(11, 150, 0.3, 6), (12, 120, 0.05, 30), (13, 200, 0.5, 200)])
+def test_nearby_top_in_halved_cells(spark, seed, n, spread, tested):
+    """Few pairs are tested at once, so most descend; some places share a spot, some have no score or place."""
+    data, frame = random_places(spark, seed, n, spread)
+    rows = [(c, k, data[i // 7 * 7][2], data[i // 7 * 7][3], None if i % 11 == 0 else float(m % 5)) if i % 3 else (c, k, y, x, float(m)) for i, (c, k, y, x, m) in enumerate(data)]
+    rows.append((rows[0][0], "lost", None, None, 9.0))
+    want = set()
+    for c, k, y, x, _ in rows[:-1]:
+        near = [(m is None, -(m or 0), q, m) for d, q, b, a, m in rows[:-1] if d == c and abs(b - y) <= 0.1 and abs(a - x) <= 0.1]
+        want |= {(c, k, i + 1, q, m) for i, (_, _, q, m) in enumerate(sorted(near, key=lambda r: r[:3])[:4])}
+    places = spark.createDataFrame(rows, "c string, k string, lat double, lng double, n double")
+    got = geo.nearby_top(places, "k", "n", ["c"], 0.1, 4, salts=4, tested=tested)
+    assert {tuple(r) for r in got.select("c", "k", "position", "near_key", "n").collect()} == want
+
+
+def test_neighbour_candidates_grow_linearly(spark):
+    """n weak places beside n strong ones, some of them out of reach: the product would grow fourfold."""
+    rng, made = random.Random(5), []
+    for n in (500, 1000, 2000):
+        weak = [(f"w{k}", rng.uniform(0.001, 0.033), rng.uniform(0.001, 0.033), rng.random()) for k in range(n)]
+        strong = [(f"s{k}", rng.uniform(0.001, 0.033), rng.uniform(0.101, 0.133), 10 + rng.random()) for k in range(n)]
+        places = spark.createDataFrame(weak + strong, "k string, lat double, lng double, n double")
+        made.append(geo.neighbour_candidates(places, "k", "n", reach=0.1, n=5).count())
+    assert made[2] < 6 * made[0] and all(rows < 64 * n for rows, n in zip(made, (500, 1000, 2000)))
+
+
 def test_nearby_without_centre_is_empty(spark):
     data, frame = random_places(spark, 4, 30, 0.3)
     centres = frame.select("k", "lat", "lng")
