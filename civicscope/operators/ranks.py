@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from civicscope.functions import fixed_values as fixed
 from civicscope.functions.classify import lookup
 from civicscope.functions.numbers import per_thousand
+from civicscope.operators.heads import By, first_rows
 from civicscope.operators.relations import (
+    SMALL_HEAD,
+    numbered,
     ordered_head,
     require_metric,
     row_of,
@@ -158,13 +161,16 @@ def ranking(
 ) -> DataFrame:
     """The first ``limit`` rows (all without one) by a metric, enumerated; ties go by key."""
     require_metric(metric, allowed)
-    value = F.col("sort_value")
     rows = df if keep_missing else df.filter(F.col(metric).isNotNull())
     rows = rows.select(
         key, F.col(metric).alias("sort_value"), *[c for c in context if c not in (key, metric)]
     )
-    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    head = ordered_head(rows, [order, F.col(key)], limit, "rank")
+    order = [By("sort_value", descending, nulls_last=True), By(key)]
+    columns = [by.sort() for by in order]
+    if limit is not None and limit > SMALL_HEAD:
+        head = numbered(first_rows(rows, order, limit), columns, "rank")
+    else:
+        head = ordered_head(rows, columns, limit, "rank")
     return head.withColumn("sort_metric", F.lit(metric))
 
 

@@ -18,7 +18,9 @@ from civicscope.functions.numbers import (
     signed_percent_text,
 )
 from civicscope.operators import compare, counts, geo, narrative, ranks, trends
+from civicscope.operators.heads import By, first_rows
 from civicscope.operators.relations import (
+    SMALL_HEAD,
     latest,
     require_metric,
     smallest,
@@ -45,9 +47,11 @@ LAYERS = {
 RANK_CONTEXT = ["population", "median_income", "active_count"]
 
 
-def in_order(rows: DataFrame, order: Sequence[Column | str], limit: int | None) -> DataFrame:
-    """All rows in order, or exactly the first ``limit``."""
-    ordered = rows.orderBy(*order)
+def in_order(rows: DataFrame, order: Sequence[By], limit: int | None) -> DataFrame:
+    """All rows in order, or exactly the first ``limit``; a long head is selected range by range."""
+    if limit is not None and limit > SMALL_HEAD:
+        return first_rows(rows, order, limit).orderBy(*[by.sort() for by in order])
+    ordered = rows.orderBy(*[by.sort() for by in order])
     return ordered if limit is None else ordered.limit(limit)
 
 
@@ -96,7 +100,7 @@ class Answers:
     ) -> DataFrame:
         """Business records meeting the given conditions, by name."""
         rows = where_equal(self.tables["businesses"], zip_code=zip_code, category=category, status=status)
-        return in_order(rows, ["business_name", "account_id"], limit)
+        return in_order(rows, [By("business_name"), By("account_id")], limit)
 
     def areas(self) -> DataFrame:
         """All areas with their main figures, largest first."""
@@ -218,12 +222,12 @@ class Answers:
 
     def momentum(self, limit: int | None = None) -> DataFrame:
         """Places by growth score."""
-        order = [F.col("momentum_score").desc_nulls_last(), KEY]
+        order = [By("momentum_score", descending=True, nulls_last=True), By(KEY)]
         return profiles.shown(in_order(self.tables["momentum_scores"], order, limit))
 
     def area_momentum(self, limit: int | None = None) -> DataFrame:
         """Areas by growth score."""
-        order = [F.col("momentum_score").desc_nulls_last(), "area"]
+        order = [By("momentum_score", descending=True, nulls_last=True), By("area")]
         return profiles.shown(in_order(self.tables["momentum_by_area"], order, limit))
 
     def business_age(self, zip_code: str | None = None, n: int = AGE_ROWS) -> DataFrame:
@@ -345,7 +349,7 @@ class Answers:
         """Active businesses of a category in a place, by name."""
         rows = where_equal(self.tables["businesses"], category=category, zip_code=zip_code, status="active")
         rows = rows.select("account_id", "business_name", "address", KEY, "start_date", "status")
-        return in_order(rows, ["business_name", "account_id"], limit)
+        return in_order(rows, [By("business_name"), By("account_id")], limit)
 
     def competitor_density(self, category: str | None = None, zip_code: str | None = None) -> DataFrame:
         """Active count, density and city density for each (place, category)."""

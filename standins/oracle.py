@@ -713,6 +713,7 @@ BODY = {
         WHERE category = 'restaurant' AND zip_code = '7' AND status = 'active'""",
     "competitor_density": "SELECT * FROM t_density",
     "businesses_lookup": """SELECT * FROM t_biz WHERE category = 'restaurant' AND status = 'inactive'""",
+    "businesses_head": """SELECT * FROM t_biz ORDER BY business_name NULLS FIRST, account_id NULLS FIRST LIMIT 20000""",
     "service_types": """SELECT event_type AS service_name, COUNT(*) AS total_requests,
         COUNT(*) FILTER (WHERE value > 20) AS closed_requests,
         ROUND(AVG(CAST(floor(value) AS INTEGER)), 1) AS avg_resolution_days,

@@ -470,6 +470,11 @@ def businesses_lookup(d):
     return d.answers.businesses(category=CATEGORY, status="inactive")
 
 
+@query
+def businesses_head(d):
+    return d.answers.businesses(limit=20_000)
+
+
 @query
 def service_types(d):
     return d.answers.services()
