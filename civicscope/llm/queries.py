@@ -46,7 +46,7 @@ def op9_line_dedup(spark, folder):
 
 
 ORACLE["op9_line_dedup"] = """
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 lines AS (
@@ -56,15 +56,14 @@ parsed AS (
   FROM lines WHERE line <> ''),
 uniq AS (SELECT size, head, line, count(*) AS n FROM parsed GROUP BY ALL),
 several AS (SELECT size, head FROM uniq GROUP BY ALL HAVING count(*) > 1),
-seeds AS (
-  SELECT size, head, line AS seed FROM uniq SEMI JOIN several USING (size, head)
-  QUALIFY row_number() OVER (PARTITION BY size, head ORDER BY n DESC, line DESC) = 1),
-agreed AS (
-  SELECT u.size, u.head, u.line, u.size AS total,
-         len(list_filter(list_zip(string_split(u.line, ' '), string_split(s.seed, ' ')), lambda z: z[1] = z[2])) AS same
-  FROM uniq u JOIN seeds s USING (size, head)),
+taken AS (
+  SELECT size, head, line, n, CAST(NULL AS VARCHAR) AS seed FROM uniq SEMI JOIN several USING (size, head)
+  UNION ALL
+  SELECT size, head, line, n, CASE WHEN len(list_filter(list_zip(string_split(line, ' '), string_split(top, ' ')), lambda z: z[1] = z[2])) >= 0.8 * size THEN top END
+  FROM (SELECT size, head, line, n, first_value(line) OVER (PARTITION BY size, head ORDER BY n DESC, line DESC) AS top FROM taken WHERE seed IS NULL)),
+agreed AS (SELECT size, head, line, seed FROM taken WHERE seed IS NOT NULL),
 keyed AS (
-  SELECT p.doc_id, p.pos, p.size, p.head, CASE WHEN a.same >= 0.8 * a.total THEN '' ELSE p.line END AS template
+  SELECT p.doc_id, p.pos, p.size, p.head, coalesce(a.seed, p.line) AS template
   FROM parsed p LEFT JOIN agreed a USING (size, head, line)),
 firsts AS (SELECT size, head, template, min(doc_id) AS first FROM keyed GROUP BY ALL HAVING min(doc_id) <> max(doc_id)),
 gone AS (SELECT k.doc_id, k.pos FROM keyed k JOIN firsts f USING (size, head, template) WHERE k.doc_id > f.first),

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from civicscope.llm import binary_codes, line_templates, order_minhash
+from civicscope.llm import binary_codes, line_templates, order_minhash, queries
 from civicscope.llm.graph import components
 
 from .conftest import EDGES
@@ -262,10 +263,12 @@ def brute_lines(rows, depth=4, similarity=0.8):
         leaves[len(p), p[:depth]].append(p)
     key = {}
     for leaf, members in leaves.items():
-        seed = max(members, key=lambda p: (counts[p], " ".join(p).encode()))
-        for p in members:
-            near = len(members) > 1 and sum(a == b for a, b in zip(p, seed)) >= similarity * len(p)
-            key[p] = (leaf, None if near else p)
+        seeds = []
+        for p in sorted(members, key=lambda p: (counts[p], " ".join(p).encode()), reverse=True):
+            seed = next((s for s in seeds if sum(a == b for a, b in zip(p, s)) >= similarity * len(p)), None)
+            if seed is None:
+                seeds.append(seed := p)
+            key[p] = leaf, seed
     where = defaultdict(set)
     for d, _, _, p in lines:
         where[key[p]].add(d)
@@ -302,3 +305,42 @@ def test_lines_against_brute_force(spark, edges):
     plain = [(r[0], r[1]) for r in EDGES]
     assert order([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_templates.drop_recurring_lines(edges).collect()]) == order(brute_lines(plain))
     assert line_templates.drop_recurring_lines(df.filter("false")).count() == 0
+
+
+def test_lines_of_several_groups_in_a_leaf(spark, monkeypatch):
+    """Fifty variants beside an unrelated line that occurs twice; families of one leaf; rounds of few seeds."""
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(400)]
+    lead, rows = ["the", "same", "four", "words"], []
+    odd = " ".join(lead + words[:16])
+    rows += [(1000, odd), (1001, odd)]
+    family = [" ".join(lead + words[20:27] + [words[100 + k]] + words[28:36]) for k in range(50)]
+    rows += list(enumerate(family))
+    single = [" ".join(lead + [words[int(i)] for i in rng.integers(0, 400, 16)]) for _ in range(30)]
+    rows += [(2000 + k, x) for k, x in enumerate(single)] + [(3000, single[3] + "\nend")]
+    for k in range(40):  # three families whose members vary in up to three places
+        base = words[40 + 16 * (k % 3) : 56 + 16 * (k % 3)]
+        for i in rng.integers(0, 16, 3):
+            base[int(i)] = words[int(rng.integers(0, 400))]
+        rows.append((4000 + k, " ".join(lead + base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_doc", "_text", "_hash", "_parts", "_gone", "a.b", "c`d", "leaf", "c0"):
+        df = df.withColumn(name, F.lit("clash"))
+    want = brute_lines(rows)
+    assert sum(n for d, _, _, n in want if d < 50) == 49
+    for seeds in (64, 3):
+        monkeypatch.setattr(line_templates, "SEEDS", seeds)
+        out = line_templates.drop_recurring_lines(df)
+        assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+        assert order([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()]) == order(want)
+        assert out.filter("leaf = 'clash' and `a.b` = 'clash' and `c``d` = 'clash'").count() == len(rows)
+
+
+@pytest.mark.parametrize("name", ["op9_line_dedup"])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert order([tuple(r) for r in got]) == order(want.fetchall())
