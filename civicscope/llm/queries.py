@@ -123,20 +123,33 @@ def op1_embedding_dedup(spark, folder):
 
 @query
 def op4_preference_pairs(spark, folder):
-    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
-    talks = table(spark, folder, "conversations")
-    side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
-    turns = talks.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text")
+    """Chosen is every conversation; rejected is the same up to a place, then the next conversation's turns from there on.
+
+    The place is the turn number ``1 + h % 4`` with a multiplicative hash h of the conversation's id.
+    """
+    talks = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    at, turn = (F.col("pair_id") * 48271 % 2147483647) % 4 + 1, F.coalesce(F.col("turn"), F.lit(-1))
+    said = [turn.alias("turn"), "role", "text"]
+    own = talks.withColumn("pair_id", F.col("conv_id"))
+    after = talks.withColumn("pair_id", F.col("conv_id") - 1).filter(turn >= at)
+    after = after.join(talks.select(F.col("conv_id").alias("pair_id")).distinct(), "pair_id", "left_semi")
+    chosen = own.select("pair_id", F.lit("chosen").alias("side"), *said)
+    rejected = own.filter(turn < at).unionByName(after).select("pair_id", F.lit("rejected").alias("side"), *said)
+    turns = chosen.unionByName(rejected)
     parts = preferences.format_pairs(turns)
     spans = F.array_join(F.transform("loss", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return parts.select("pair_id", "part", "chunk", "n_turns", "text", spans.alias("loss_spans"))
 
 
 ORACLE["op4_preference_pairs"] = """
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, coalesce(turn, -1) AS turn,
-         coalesce(role, 'none') AS role, coalesce(role = 'assistant', false) AS learned, coalesce(text, '') AS text
+WITH talks AS (
+  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'none') AS role, coalesce(role = 'assistant', false) AS learned, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, learned, text FROM talks
+  UNION ALL SELECT conv_id, 'rejected', turn, role, learned, text FROM talks WHERE turn < (conv_id * 48271 % 2147483647) % 4 + 1
+  UNION ALL SELECT conv_id - 1, 'rejected', turn, role, learned, text FROM talks
+  WHERE turn >= ((conv_id - 1) * 48271 % 2147483647) % 4 + 1 AND conv_id - 1 IN (SELECT conv_id FROM talks)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) - 1 AS k FROM turns),
 differ AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(row(coalesce(c.turn, r.turn), coalesce(c.k, r.k))) AS place

@@ -1,10 +1,13 @@
 import binascii
 
+from collections import Counter
+
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from civicscope.llm import preferences, quality, toxicity
+from civicscope.llm import preferences, quality, queries, toxicity
 from civicscope.llm.frames import held_out
 
 
@@ -180,3 +183,18 @@ def test_a_huge_conversation_continues_in_chunks(spark):
         some = [r for r in got if r.part == part]
         assert "".join(r.text for r in some) == want[1, part][1] and [r.chunk for r in some] == list(range(len(some)))
         assert all(r.text[s.start : s.end].endswith("<|end|>") for r in some for s in r.loss)
+
+
+def test_registered_pairs_have_prompts(spark):
+    """Every pair of the query shares its first turns; its SQL gives the same rows."""
+    folder = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op4_preference_pairs"](spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    want = con.execute(queries.ORACLE["op4_preference_pairs"])
+    columns = [c[0] for c in want.description]
+    rows = got.select(*columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(want.fetchall())
+    parts = Counter(r["part"] for r in rows)
+    pairs = len({r["pair_id"] for r in rows})
+    assert parts["prompt"] == pairs and parts["rejected"] > 0.8 * pairs
