@@ -32,6 +32,12 @@ def within_box(
     )
 
 
+def centre_of(centroids: DataFrame, key: str, value: str) -> tuple[float | None, float | None]:
+    """Latitude and longitude of one key's centre, looked up now; None where it has none."""
+    row = centroids.filter(F.col(key) == value).agg(F.max("lat"), F.max("lng")).first()
+    return (row[0], row[1])
+
+
 def within_box_of(
     points: DataFrame,
     centroids: DataFrame,

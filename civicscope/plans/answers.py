@@ -31,6 +31,7 @@ from civicscope.operators.relations import (
 )
 from civicscope.plans import profiles
 from civicscope.plans.tables import KEY, Tables
+from civicscope.sources import layers
 
 # Rows of the calls that are "top n" by nature.
 NEARBY_ROWS = 20
@@ -319,7 +320,9 @@ class Answers:
     ) -> DataFrame:
         """Points of a layer within years and a box around a centre or a place.
 
-        An unknown layer gives no rows.  ``sample`` keeps that many points, those
+        An unknown layer gives no rows.  A layer stored along the curve (`layers.write_layer`)
+        is read by the pieces of the curve that the box covers; the place's centre is then
+        looked up when the method is called.  ``sample`` keeps that many points, those
         with the smallest hash; ``sample_by`` is another hash and
         ``sample_shift`` the bits below its counted ones.
         """
@@ -328,7 +331,17 @@ class Answers:
             return spark.createDataFrame([], "lat double, lng double")
         table, year = LAYERS[layer]
         rows = where_between(self.tables[table], year, year_min, year_max)
-        if center_lat is not None and center_lng is not None:
+        if layers.CURVE in rows.columns:
+            centre = (center_lat, center_lng)
+            half = bbox_deg
+            if None in centre and zip_code is not None:
+                centre, half = geo.centre_of(self.tables["zip_centroids"], KEY, zip_code), geo.PLACE_BOX_DEG
+                if None in centre:  # no box, as without the curve
+                    rows = geo.within_box_of(rows, self.tables["zip_centroids"], KEY, zip_code)
+            if None not in centre:
+                rows = layers.in_box(rows, *[tuple(x + step for x in centre) for step in (-half, half)])
+            rows = rows.drop(layers.CURVE)
+        elif center_lat is not None and center_lng is not None:
             rows = geo.within_box(rows, center_lat, center_lng, bbox_deg)
         elif zip_code is not None:
             rows = geo.within_box_of(rows, self.tables["zip_centroids"], KEY, zip_code)

@@ -15,10 +15,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from civicscope.plans.answers import Answers
+from civicscope.plans.answers import LAYERS, Answers
 from civicscope.plans.contracts import check_contract
 from civicscope.plans.tables import KEY, PEERS, SOURCES, Tables, businesses, demographics
-from civicscope.sources import files
+from civicscope.sources import files, layers
 
 # Columns each table is clustered by, so that a filter on them skips files.
 CLUSTERED = {
@@ -88,6 +88,17 @@ def build(spark: SparkSession, config: Mapping, target: str) -> dict[str, DataFr
     return graph.build_all()
 
 
+def cluster_layers(spark: SparkSession, tables: Mapping[str, str], target: str) -> dict[str, str]:
+    """Write the map layers among the tables along the curve; the paths to open instead."""
+    paths = dict(tables)
+    for name, _ in LAYERS.values():
+        found = files.read_table(spark, paths[name]) if name in paths else None
+        if found is not None:
+            paths[name] = f"{target.rstrip('/')}/{name}"
+            layers.write_layer(found, paths[name])
+    return paths
+
+
 class StoredTables:
     """Built tables under a folder, plus the civic tables a question may need."""
 

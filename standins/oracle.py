@@ -685,6 +685,11 @@ BODY = {
         (SELECT lat, lng FROM t_cent WHERE zip_code = '7') c
         WHERE p.lat >= c.lat - 0.05e0 AND p.lat <= c.lat + 0.05e0
           AND p.lng >= c.lng - 0.05e0 AND p.lng <= c.lng + 0.05e0""",
+    "map_points_place_stored": f"""SELECT p.* FROM (SELECT event_id AS point_id, {point('event_id', 'user_id')},
+        event_type AS service_name, CAST(year(ts) AS INTEGER) AS request_year FROM events) p,
+        (SELECT lat, lng FROM t_cent WHERE zip_code = '7') c
+        WHERE p.lat >= c.lat - 0.05e0 AND p.lat <= c.lat + 0.05e0
+          AND p.lng >= c.lng - 0.05e0 AND p.lng <= c.lng + 0.05e0""",
     "point_classes": """SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'solar' ELSE 'other' END AS point_class,
         CAST(year(o_orderdate) AS INTEGER) AS approval_year, COUNT(*) AS points FROM orders GROUP BY ALL""",
     "nearby_places": "SELECT * FROM t_near",

@@ -22,8 +22,9 @@ from civicscope.functions.text import maturity, parse_date, postal_key, rank_bad
 from civicscope.operators import compare, counts, geo, trends
 from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
+from civicscope.plans.answers import Answers
 from civicscope.plans.tables import KEY, as_date, demographics
-from civicscope.sources import files
+from civicscope.sources import files, layers
 from civicscope.streaming.incremental import load_new_files
 from standins.tables import AS_OF, Domain
 
@@ -414,6 +415,14 @@ def map_points_place(d):
     return d.answers.map_points("311", zip_code=PLACE)
 
 
+@query
+def map_points_place_stored(d):
+    """The same over a layer that is stored along the curve."""
+    path = f"{work_folder(d.spark)}/map_311"
+    layers.write_layer(d.map_311, path)
+    return Answers({"map_311": d.spark.read.parquet(path), "zip_centroids": d.tables["zip_centroids"]}).map_points("311", zip_code=PLACE)
+
+
 @query
 def point_classes(d):
     return d.answers.point_classes(d.map_permits).groupBy("point_class", "approval_year").agg(
