@@ -2,7 +2,11 @@
 
 Every stage takes all rows that the one before kept; all but the last return the columns of
 ``documents``.  Rows with a null id or text go through the stages like empty ones and are
-dropped only by a classifier's decision.
+dropped only by a classifier's decision; repeated rows (same id and text) are judged alike and
+stay together; rows that share an id but not the text are never dropped as near copies, so no
+text is lost to another's id; of equal scores, texts and ids none is preferred to its twin;
+texts of any length are read whole; extra columns are carried along up to packing; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +39,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id."""
+    """One document of each class of near copies, the one with the smallest id; all rows of an id with several texts."""
     reach(spark)
-    others = order_minhash.near_classes(docs).filter("doc_id <> class_id").select("doc_id")
+    said = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.groupBy("doc_id").agg(F.min(said).alias("low"), F.max(said).alias("high")).filter("low <> high").select("doc_id")
+    others = order_minhash.near_classes(docs).filter("doc_id <> class_id").select("doc_id").join(several, "doc_id", "left_anti")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

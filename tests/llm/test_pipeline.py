@@ -81,3 +81,23 @@ def test_run_gives_the_last_stage(spark, steps):
     got = corpus_pipeline.run(spark, FOLDER)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(got.select(names).collect()) == sorted(steps[-1][2].select(names).collect())
+
+
+def test_no_text_is_lost_to_a_shared_id(spark):
+    text = "a text of its own that stands nowhere else in the table and has enough words"
+    rows = [(3, ""), (5, text), (5, None), (6, "some other words that are not like the first ones at all"), (7, text), (8, ""), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars", "'x' as class_id")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((d, t) for d, t in rows if d not in (7, 8)), key=repr)
+
+
+def test_stages_on_edges(spark, edges):
+    """Nulls, empty and long texts, repeated rows and other columns go through every stage; an empty table too."""
+    for docs in (edges.withColumn("n_chars", F.length("text").cast("long")), edges.limit(0).withColumn("n_chars", F.lit(0).cast("long"))):
+        n = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, FOLDER)
+            assert out.columns == docs.columns and out.count() <= n
+        packed = corpus_pipeline.pack(spark, docs, FOLDER)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
