@@ -32,10 +32,13 @@ BLOCK = 200_000
 SLACK = 1 / 128
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """Every piece of every document: the other columns, piece, start, length, ids_crc32 and (if wanted) ids."""
+def pieces(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True, kept: int = 600_000) -> DataFrame:
+    """Every piece of every document: the other columns, piece, start, length, ids_crc32 and (if wanted) ids.
+
+    ``kept`` bounds the words whose ids a task remembers; it changes memory and time, no result.
+    """
     reach(docs.sparkSession)
-    encoder = PieceEncoder(tokenizer, keeps_space=False)
+    encoder = PieceEncoder(tokenizer, keeps_space=False, kept=kept)
     new = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
         new.append(T.StructField("ids", T.ArrayType(T.IntegerType())))

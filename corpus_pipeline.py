@@ -19,6 +19,10 @@ from civicscope.llm import line_templates, order_minhash, packing, quality, toxi
 from civicscope.llm.frames import reach, stored
 
 
+#: Words whose ids a packing task remembers: workers still hold what earlier stages left them.
+REMEMBERED = 150_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier does not call toxic."""
     model = toxicity.fit(docs, reach(spark).read.parquet(f"{sf_dir}/labels.parquet"))
@@ -50,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
     reach(spark)
-    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, kept=REMEMBERED)
     return packing.pack(cut)
 
 
