@@ -13,7 +13,8 @@ CHECKED = [
     "area_profile", "city_averages", "momentum", "percentiles", "rankings_category_context", "area_trends",
     "city_trends", "map_points_place", "map_points_all", "map_points_sample", "latest_breakdown", "businesses_lookup",
     "competitors", "competitor_density", "nearby_all_centres", "hex_density", "dow_month_grid", "permit_timelines",
-    "vs_average", "area_head_to_head", "narrative", "area_narrative", "comparison_narrative", "incremental_load",
+    "vs_average", "area_head_to_head", "businesses_head", "map_points_place_stored",
+    "narrative", "area_narrative", "comparison_narrative", "incremental_load",
 ]
 
 
