@@ -26,11 +26,32 @@ def category_counts(
     )
 
 
-def business_cells(businesses: DataFrame, key: str, category: str = "category") -> DataFrame:
-    """One row per (place, category): the only pass over the businesses for both count tables."""
-    return businesses.groupBy(key, category).agg(
-        F.count(F.lit(1)).alias("total_count"),
-        F.count_if(F.col("status") == "active").alias("active_count"),
+def business_cube(businesses: DataFrame, key: str, category: str = "category") -> DataFrame:
+    """Businesses per (place, category, status, start date): the only pass over their rows.
+
+    Cells, formation and start histogram follow from it, and cubes of disjoint sets of
+    businesses add up (``merged_cube``), so new businesses need no second look at old ones.
+    """
+    return businesses.groupBy(key, category, "status", "start_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_cube(cubes: DataFrame, key: str, category: str = "category") -> DataFrame:
+    """One cube from the rows of several."""
+    return cubes.groupBy(key, category, "status", "start_date").agg(F.sum("n").alias("n"))
+
+
+def _number(n: str | None, condition: Column | None = None) -> Column:
+    """Rows that meet the condition, or the sum of their ``n`` when rows are counts."""
+    if n is None:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    return F.sum(n) if condition is None else F.sum(F.when(condition, F.col(n)).otherwise(0))
+
+
+def business_cells(rows: DataFrame, key: str, category: str = "category", n: str | None = None) -> DataFrame:
+    """One row per (place, category) from businesses, or from a cube with its count column ``n``."""
+    return rows.groupBy(key, category).agg(
+        _number(n).alias("total_count"),
+        _number(n, F.col("status") == "active").alias("active_count"),
         F.min("start_date").alias("earliest_start"),
         F.max("start_date").alias("latest_start"),
     )
@@ -50,17 +71,17 @@ def place_summary(cells: DataFrame, key: str, category: str = "category") -> Dat
     )
 
 
-def formation(businesses: DataFrame, key: str, first_year: int = 2015) -> DataFrame:
-    """Businesses started per place and year, from ``first_year`` on."""
+def formation(rows: DataFrame, key: str, first_year: int = 2015, n: str | None = None) -> DataFrame:
+    """Businesses started per place and year, from ``first_year`` on; ``n`` as in ``business_cells``."""
     year = F.year("start_date")
-    started = businesses.filter(F.col("start_date").isNotNull() & (year >= first_year))
-    return started.groupBy(key, year.alias("year")).agg(F.count(F.lit(1)).alias("new_businesses"))
+    started = rows.filter(F.col("start_date").isNotNull() & (year >= first_year))
+    return started.groupBy(key, year.alias("year")).agg(_number(n).alias("new_businesses"))
 
 
-def start_histogram(businesses: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Active businesses per group and start date: the shared input of age statistics."""
-    rows = businesses.filter(F.col("start_date").isNotNull() & (F.col("status") == "active"))
-    return rows.groupBy(*by, "start_date").agg(F.count(F.lit(1)).alias("n"))
+def start_histogram(rows: DataFrame, by: Sequence[str], n: str | None = None) -> DataFrame:
+    """Active businesses per group and start date, the shared input of age statistics; ``n`` as in ``business_cells``."""
+    active = rows.filter(F.col("start_date").isNotNull() & (F.col("status") == "active"))
+    return active.groupBy(*by, "start_date").agg(_number(n).alias("n"))
 
 
 def age_statistics(

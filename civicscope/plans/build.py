@@ -23,6 +23,7 @@ from civicscope.sources import files, layers
 # Columns each table is clustered by, so that a filter on them skips files.
 CLUSTERED = {
     "businesses": [KEY, "category", "account_id"],
+    "business_cube": [KEY, "category"],
     "business_cells": [KEY],
     "business_by_zip": [KEY],
     "business_summary": [KEY],
@@ -84,6 +85,7 @@ def build(spark: SparkSession, config: Mapping, target: str) -> dict[str, DataFr
         config.get("first_year", 2015),
         store,
         tuple(config.get("peers", PEERS)),
+        one_scan=True,
     )
     return graph.build_all()
 

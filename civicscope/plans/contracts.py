@@ -46,6 +46,7 @@ CONTRACTS = {
     "trend_311_monthly": "year int, month int, total_requests bigint, closed_requests bigint, "
     "avg_resolution_days double, median_resolution_days double",
     "yearly_series": "zip_code string, series string, year int, count bigint",
+    "business_cube": "zip_code string, category string, status string, start_date date, n bigint",
     "business_cells": "zip_code string, category string, total_count bigint, active_count bigint, "
     "earliest_start date, latest_start date",
     "start_histogram": "zip_code string, category string, start_date date, n bigint",

@@ -315,6 +315,7 @@ SOURCES = [
 
 # Aggregates read by several tables.
 SHARED = [
+    "business_cube",
     "business_cells",
     "neighborhood_profile",
     "momentum_scores",
@@ -338,9 +339,11 @@ class Tables:
 
     ``source`` gives a source table by name, or None (``dict.get`` will do).  ``store``
     sees every finished table and returns the frame later tables read.  The default
-    settles the aggregates that several tables share; the businesses are still read
-    once for each table that starts from their rows.  ``files.parquet_store`` writes
-    every table; None keeps one plan.  ``peers`` names the average place and area.
+    settles the aggregates that several tables share.  With ``one_scan`` the businesses
+    are read once, for their cube, and all counts follow from it: right for a build of all
+    tables; one table alone is quicker from the rows.  A source ``business_cube`` (one or
+    several cubes, see ``incremental.extend_cube``) stands for the rows.
+    ``files.parquet_store`` writes every table; None keeps one plan.  ``peers`` names the average place and area.
     """
 
     def __init__(
@@ -353,8 +356,10 @@ class Tables:
         first_year: int = 2015,
         store: Callable[[str, DataFrame], DataFrame] | None = settle_shared,
         peers: tuple[str, str] = PEERS,
+        one_scan: bool = False,
     ) -> None:
         self._source = source
+        self.one_scan = one_scan
         self.peers = peers
         self.as_of = as_date(as_of)
         self.previous_year = previous_year
@@ -368,6 +373,7 @@ class Tables:
         "zip_to_neighborhood",
         "businesses",
         "demographics",
+        "business_cube",
         "business_cells",
         "business_by_zip",
         "business_summary",
@@ -440,9 +446,22 @@ class Tables:
     def _zip_to_neighborhood(self):
         return self["names"].select(KEY, "neighborhood")
 
-    def _business_cells(self):
+    def _business_cube(self):
+        ready = self._source("business_cube")
+        if ready is not None:
+            return counts.merged_cube(ready, KEY)
         rows = self.get("businesses")
-        return None if rows is None else counts.business_cells(rows, KEY)
+        return None if rows is None else counts.business_cube(rows, KEY)
+
+    def _counted(self) -> tuple[DataFrame | None, str | None]:
+        """What counts start from: the cube and its count column, or the businesses."""
+        if self.one_scan or self._source("business_cube") is not None:
+            return self.get("business_cube"), "n"
+        return self.get("businesses"), None
+
+    def _business_cells(self):
+        rows, n = self._counted()
+        return None if rows is None else counts.business_cells(rows, KEY, n=n)
 
     def _business_by_zip(self):
         cells = self.get("business_cells")
@@ -485,16 +504,16 @@ class Tables:
         return area_categories(rows, self["zip_area"], self["area_profile"])
 
     def _trend_business_formation(self):
-        rows = self.get("businesses")
-        return None if rows is None else counts.formation(rows, KEY, self.first_year)
+        rows, n = self._counted()
+        return None if rows is None else counts.formation(rows, KEY, self.first_year, n)
 
     def _trend_311_monthly(self):
         rows = self.get("civic_311_monthly")
         return None if rows is None else monthly_requests(rows)
 
     def _start_histogram(self):
-        rows = self.get("businesses")
-        return None if rows is None else counts.start_histogram(rows, [KEY, "category"])
+        rows, n = self._counted()
+        return None if rows is None else counts.start_histogram(rows, [KEY, "category"], n)
 
     def _business_age_stats(self):
         rows = self.get("start_histogram")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from civicscope.operators import counts
+from civicscope.plans.contracts import contract
+from civicscope.plans.tables import KEY
+from civicscope.sources import files
+
 
 def _where(spark: SparkSession, source: str) -> tuple[str, str]:
     """The folder to watch and the names that count in it: a streaming source takes folders only."""
@@ -13,6 +18,12 @@ def _where(spark: SparkSession, source: str) -> tuple[str, str]:
     return (source, "*.parquet") if status.isDirectory() else (source.rsplit("/", 1)[0], source.rsplit("/", 1)[1])
 
 
+def _arrivals(spark: SparkSession, source: str, schema: StructType, max_files: int) -> DataFrame:
+    folder, names = _where(spark, source)
+    watched = spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", max_files)
+    return watched.parquet(folder)
+
+
 def load_new_files(
     spark: SparkSession,
     source: str,
@@ -27,15 +38,8 @@ def load_new_files(
     driver or executor neither skips nor repeats any; the file sink commits each
     batch once.
     """
-    folder, files = _where(spark, source)
-    arrivals = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
     query = (
-        arrivals.writeStream.format("parquet")
+        _arrivals(spark, source, schema, max_files).writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .option("compression", "zstd")
@@ -44,3 +48,35 @@ def load_new_files(
     )
     query.awaitTermination()
     return spark.read.schema(schema).parquet(target)
+
+
+def extend_cube(
+    spark: SparkSession, source: str, root: str, schema: StructType, max_files: int = 1000
+) -> DataFrame:
+    """Count the businesses in new Parquet files of a table into the cube under ``root``; all its cubes as one frame.
+
+    Only new files are read.  Each batch of them leaves a cube of its own in
+    ``root/cube/batch=<number>``, written over if a lost driver made the batch run
+    again, so no row counts twice; ``root/_seen`` remembers the files.  Rows are
+    cleaned businesses (of ``schema``, extra columns are not read); a business that
+    is in two files counts twice.  The frame is what ``Tables`` takes as source
+    ``business_cube``, or ``counts.merged_cube`` adds up; no files give an empty one.
+    """
+    folder = f"{root.rstrip('/')}/cube"
+
+    def count(batch: DataFrame, number: int) -> None:
+        cube = counts.business_cube(batch, KEY)
+        cube.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={number}")
+
+    needed = StructType([field for field in schema if field.name in (KEY, "category", "status", "start_date")])
+    started = (
+        _arrivals(spark, source, needed, max_files)
+        .writeStream.foreachBatch(count)
+        .option("checkpointLocation", f"{root.rstrip('/')}/_seen")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    wanted = contract("business_cube")
+    found = files.read_table(spark, folder)
+    return spark.createDataFrame([], wanted) if found is None else found.select(*wanted.names)

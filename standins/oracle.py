@@ -802,7 +802,10 @@ BODY = {
     "area_comparison_narrative": area_pair_narrative(),
     "incremental_load": "SELECT * FROM orders",
     "stored_job_graph": "SELECT * FROM t_area",
+    "business_cube": "SELECT zip_code, category, status, start_date, COUNT(*) AS n FROM t_biz GROUP BY ALL",
+    "formation_from_cube": "SELECT * FROM t_formation",
 }
+BODY["cube_extended"] = BODY["business_cube"]
 BODY["service_types_top"] = BODY["service_types"] + " ORDER BY total_requests DESC, service_name LIMIT 15"
 BODY["dataset_rows"] = " UNION ALL ".join(
     f"SELECT '{name}' AS dataset, true AS available, COUNT(*) AS row_count, {newest} AS newest FROM {name}"

@@ -23,10 +23,10 @@ from civicscope.operators import compare, counts, geo, trends
 from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
 from civicscope.plans.answers import Answers
-from civicscope.plans.tables import KEY, as_date, demographics
+from civicscope.plans.tables import KEY, Tables, as_date, demographics
 from civicscope.sources import files, layers
-from civicscope.streaming.incremental import load_new_files
-from standins.tables import AS_OF, Domain
+from civicscope.streaming.incremental import extend_cube, load_new_files
+from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PREVIOUS_YEAR, Domain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def place_summary(d):
     return counts.place_summary(counts.business_cells(d.businesses, KEY), KEY)
 
 
+@query
+def business_cube(d):
+    return d.tables["business_cube"]
+
+
 @query
 def filter_values(d):
     return d.answers.filters()
@@ -673,6 +678,25 @@ def incremental_load(d):
     return load_new_files(d.spark, f"{d.folder}/orders.parquet", f"{work}/orders", f"{work}/_seen", schema)
 
 
+@query
+def cube_extended(d):
+    """The cube of two halves of the businesses, the second half counted after the first; tables follow from it."""
+    work = work_folder(d.spark)
+    rows = d.businesses
+    late = F.year("start_date") % 2 == 0
+    for part in (rows.filter(~late), rows.filter(late)):
+        part.write.mode("append").parquet(f"{work}/businesses")
+        cubes = extend_cube(d.spark, f"{work}/businesses", f"{work}/counted", rows.schema)
+    return counts.merged_cube(cubes, KEY)
+
+
+@query
+def formation_from_cube(d):
+    """Formation from a job graph that is given the cube and no businesses."""
+    given = {"business_cube": cube_extended(d)}
+    return Tables(given.get, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, first_year=FIRST_YEAR)["trend_business_formation"]
+
+
 @query
 def stored_job_graph(d):
     """Profiles from a job graph whose tables are written, clustered by key, and read back."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from civicscope.operators.relations import shared_folder
 from civicscope.sources import files
-from civicscope.streaming.incremental import load_new_files
+from civicscope.operators import counts
+from civicscope.plans.tables import KEY, Tables
+from civicscope.streaming.incremental import extend_cube, load_new_files
 from standins import queries
 
 
@@ -93,6 +95,66 @@ def test_incremental_load_of_a_directory_named_like_a_file(spark, tmp_path):
     assert out.count() == 1500
 
 
+BUSINESS = "account_id string, n int, zip_code string, category string, start_date date, status string"
+
+
+def some_businesses(spark):
+    """Nulls in every column, a place that holds a third of the rows, repeated rows, a clashing column ``n``."""
+    return spark.range(300).selectExpr(
+        "CAST(id AS string) AS account_id", "CAST(id AS int) AS n",
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 <> 1 THEN CAST(id % 7 AS string) END AS zip_code",
+        "CASE WHEN id % 5 <> 0 THEN CONCAT('c', id % 4) END AS category",
+        "CASE WHEN id % 11 <> 0 THEN DATE_ADD(DATE '2014-06-01', CAST(id * 37 % 2000 AS int)) END AS start_date",
+        "CASE WHEN id % 13 <> 0 THEN IF(id % 2 = 0, 'active', 'inactive') END AS status")
+
+
+def tables_of(graph):
+    names = ["business_cells", "business_by_zip", "business_summary", "trend_business_formation", "start_histogram"]
+    return {name: sorted(map(str, graph[name].collect())) for name in names}
+
+
+def test_a_cube_extended_by_the_other_half_equals_the_full_build(spark, tmp_path):
+    rows = some_businesses(spark)
+    source, root = str(tmp_path / "in"), str(tmp_path / "counted")
+    for part in ("n < 150", "n >= 150"):
+        rows.filter(part).repartition(2).write.mode("append").parquet(source)
+        for _ in range(2):  # a second run finds nothing new
+            cubes = extend_cube(spark, source, root, rows.schema, max_files=1)
+    assert sorted(os.listdir(tmp_path / "counted" / "cube")) == [f"batch={i}" for i in range(4)]
+    options = {"as_of": "2020-01-01", "previous_year": 2018, "current_year": 2019, "store": None}
+    full = tables_of(Tables({"businesses": rows}.get, **options))
+    assert tables_of(Tables({"business_cube": cubes}.get, **options)) == full
+    direct = {"business_cells": counts.business_cells(rows, KEY), "trend_business_formation": counts.formation(rows, KEY),
+              "start_histogram": counts.start_histogram(rows, [KEY, "category"])}
+    for name, df in direct.items():
+        assert sorted(map(str, df.collect())) == full[name]
+
+
+def test_a_cube_of_no_files_is_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = some_businesses(spark)
+    cubes = extend_cube(spark, str(tmp_path / "in"), str(tmp_path / "counted"), rows.schema)
+    assert cubes.count() == 0 and counts.merged_cube(cubes, KEY).columns == [KEY, "category", "status", "start_date", "n"]
+
+
+def test_the_businesses_are_scanned_once(spark, tmp_path):
+    some_businesses(spark).write.parquet(str(tmp_path / "register"))
+    readers = {}
+
+    def store(name, df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        readers[name] = plan.count("Relation [") if any("/businesses/" in f for f in df.inputFiles()) else 0
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    places = spark.createDataFrame([("hot", "H", "A")], "zip_code string, neighborhood string, area string")
+    sources = {"businesses": spark.read.parquet(str(tmp_path / "register")), "names": places.drop("area"), "areas": places.drop("neighborhood")}
+    graph = Tables(sources.get, "2020-01-01", 2018, 2019, store=store, one_scan=True)
+    for name in ["business_by_zip", "business_summary", "trend_business_formation", "business_age_stats", "business_age_by_area", "yearly_series"]:
+        assert graph.get(name) is not None
+    assert {name: n for name, n in readers.items() if n} == {"business_cube": 1}
+
+
 def test_lookup_table(spark):
     got = files.lookup_table(spark, {"a": "x", "b": "y"}, "k", "v")
     assert sorted(map(tuple, got.collect())) == [("a", "x"), ("b", "y")]
