@@ -101,6 +101,24 @@ def cluster_layers(spark: SparkSession, tables: Mapping[str, str], target: str)
     return paths
 
 
+# Civic tables that are asked for one period: the period, and what a period is clustered by.
+PERIODS = {
+    "civic_crime_detail": ("year", ["offense_group", "crime_against"]),
+    "civic_crime_temporal": ("year", ["month", "dow"]),
+}
+
+
+def partition_periods(spark: SparkSession, tables: Mapping[str, str], target: str) -> dict[str, str]:
+    """Write the civic tables that are asked by period in one folder per period; the paths to open instead."""
+    paths = dict(tables)
+    for name, (period, keys) in PERIODS.items():
+        found = files.read_table(spark, paths[name]) if name in paths else None
+        if found is not None:
+            paths[name] = f"{target.rstrip('/')}/{name}"
+            files.write_periods(found, paths[name], period, keys)
+    return paths
+
+
 class StoredTables:
     """Built tables under a folder, plus the civic tables a question may need."""
 

@@ -130,6 +130,26 @@ def write_sorted(
     return seen.get["rows"]
 
 
+def write_periods(df: DataFrame, path: str, period: str, keys: Sequence[str]) -> DataFrame:
+    """Write Parquet (zstd) with one folder per period, clustered on the keys inside, and open it.
+
+    A filter on the period, known or found by a subquery as ``relations.latest`` does, then
+    opens the folders of that period only.  Ranges of (period, keys) are the tasks, so a
+    period with most of the rows is written by several.  Rows without a period have a
+    folder of their own.  An empty table leaves no files: the returned frame is empty,
+    ``read_table`` takes it for absent.
+    """
+    (
+        df.repartitionByRange(period, *keys)
+        .sortWithinPartitions(period, *keys)
+        .write.mode("overwrite")
+        .option("compression", "zstd")
+        .partitionBy(period)
+        .parquet(path)
+    )
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def refresh_copy(
     spark: SparkSession, catalogue: Mapping[str, tuple[str, str]], force: bool = False
 ) -> dict[str, str]:

@@ -806,6 +806,7 @@ BODY = {
     "formation_from_cube": "SELECT * FROM t_formation",
 }
 BODY["cube_extended"] = BODY["business_cube"]
+BODY["crime_detail_stored"], BODY["crime_temporal_stored"] = BODY["crime_detail"], BODY["crime_temporal"]
 BODY["service_types_top"] = BODY["service_types"] + " ORDER BY total_requests DESC, service_name LIMIT 15"
 BODY["dataset_rows"] = " UNION ALL ".join(
     f"SELECT '{name}' AS dataset, true AS available, COUNT(*) AS row_count, {newest} AS newest FROM {name}"

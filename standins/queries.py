@@ -23,6 +23,7 @@ from civicscope.operators import compare, counts, geo, trends
 from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
 from civicscope.plans.answers import Answers
+from civicscope.plans.build import PERIODS
 from civicscope.plans.tables import KEY, Tables, as_date, demographics
 from civicscope.sources import files, layers
 from civicscope.streaming.incremental import extend_cube, load_new_files
@@ -509,6 +510,22 @@ def crime_temporal(d):
     return d.answers.crime_temporal(2000)
 
 
+def by_period(d: Domain, name: str) -> Answers:
+    """Answers over a civic table that is stored in one folder per year."""
+    period, keys = PERIODS[name]
+    return Answers({name: files.write_periods(getattr(d, name), f"{work_folder(d.spark)}/{name}", period, keys)})
+
+
+@query
+def crime_detail_stored(d):
+    return by_period(d, "civic_crime_detail").crime_detail()
+
+
+@query
+def crime_temporal_stored(d):
+    return by_period(d, "civic_crime_temporal").crime_temporal(2000)
+
+
 @query
 def dow_month_grid(d):
     return d.answers.weekday_month_grid()

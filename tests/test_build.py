@@ -2,8 +2,11 @@
 
 import pytest
 
-from civicscope.plans.build import build, open_answers
+from civicscope.operators.relations import latest
+from civicscope.plans.answers import Answers
+from civicscope.plans.build import build, open_answers, partition_periods
 from civicscope.plans.contracts import CONTRACTS, check_contract
+from civicscope.sources import files
 
 REGISTER = """BUSINESS ACCT#,DBA NAME,ADDRESS,ZIP,NAICS,ACTIVITY DESC,START DT,CREATION DT,EXP DT
 1,Bar One,1 Main,92101,722410,bar,1/5/2019,1/5/2019,
@@ -87,3 +90,40 @@ def test_contract_breach_is_refused(spark):
     assert "momentum_scores" in CONTRACTS
     with pytest.raises(ValueError):
         check_contract("zip_centroids", spark.createDataFrame([("1", 1.0)], "zip_code string, lat double"))
+
+
+CRIMES = "offense_group string, crime_against string, year bigint, count bigint, `a.b` string"
+
+
+def folders_read(df):
+    """Partition folders that the first scan of the executed plan opened."""
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numPartitions").value()
+
+
+def test_one_period_is_read_from_a_table_stored_by_period(spark, tmp_path):
+    rows = [(f"g{i % 5}" if i % 9 else None, f"k{i % 3}", 2010 + i % 7 if i % 4 else None, i, "x") for i in range(200)]
+    rows += [("g1", "k1", 2016, 1, None)] * 100  # half of the dated rows are of the last year, repeated
+    plain = spark.createDataFrame(rows, CRIMES)
+    plain.write.parquet(str(tmp_path / "plain"))
+    paths = partition_periods(spark, {"civic_crime_detail": str(tmp_path / "plain"), "civic_energy": "elsewhere"}, str(tmp_path / "stored"))
+    assert paths["civic_energy"] == "elsewhere" and paths["civic_crime_detail"].endswith("stored/civic_crime_detail")
+    stored = spark.read.schema(plain.schema).parquet(paths["civic_crime_detail"])
+    key = lambda r: str(r)
+    assert sorted(stored.select(*[f"`{c}`" for c in plain.columns]).collect(), key=key) == sorted(plain.collect(), key=key)
+    for year in (None, 2012, 1900):
+        old, new = (Answers({"civic_crime_detail": t}).crime_detail(year) for t in (plain, stored))
+        assert sorted(map(str, old.collect())) == sorted(map(str, new.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for found, want in ((latest(stored, "year"), 1), (stored.filter("year = 2012"), 1), (stored.filter("year >= 2015"), 2), (stored, 8)):
+            found.collect()
+            assert folders_read(found) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_an_empty_table_by_period(spark, tmp_path):
+    empty = spark.createDataFrame([], CRIMES)
+    opened = files.write_periods(empty, str(tmp_path / "none"), "year", ["offense_group"])
+    assert opened.columns == empty.columns and opened.count() == 0 and latest(opened, "year").count() == 0
+    assert files.read_table(spark, str(tmp_path / "none")) is None
