@@ -822,4 +822,30 @@ for section, flat in {"comparisons": "vs_average", "narratives": "narrative", "t
     BODY[f"profile_{section}"] = BODY[flat]
     BODY[f"area_profile_{section}"] = BODY[f"area_{flat}"]
 
+
+
+def section_ranked(key: str, rows: str, order: str, fields: str, n: int) -> str:
+    """The first n rows of a key with their position, as an array section lists them."""
+    return f"""SELECT {key}, CAST(n AS INTEGER) AS position, {fields} FROM (SELECT *, ROW_NUMBER() OVER (
+        PARTITION BY {key} ORDER BY {order}) AS n FROM ({rows}) r) WHERE n <= {n}"""
+
+
+FIGURES = {name: py(name) for name in ["median_age", "pct_bachelors_plus", "businesses_per_1k", "permit_valuation", "median_311_days"]}
+COUNTED = ["population", "active_count", "total_count", "new_permits", "solar_installs", "crime_count", "total_311_requests"]
+MONEY = ["median_income", "median_home_value", "median_rent"]
+for prefix, key, table in [("profile", "zip_code", "t_profile"), ("area_profile", "area", "t_area")]:
+    flat = "" if prefix == "profile" else "area_"
+    BODY[f"{prefix}_crime"] = section_ranked(key, BODY[f"{flat}latest_breakdown"], "count DESC, crime_against", "crime_against, count", 1000)
+    BODY[f"{prefix}_permit_timelines"] = f"SELECT {key}, position, permit_type, permit_count, median_days FROM ({BODY[f'{flat}permit_timelines']})"
+    BODY[f"{prefix}_ages"] = section_ranked(
+        key, "SELECT * FROM " + ("t_age_zip" if prefix == "profile" else "t_age_area"), "business_count DESC, category NULLS FIRST", AGES, 5)
+    BODY[f"{prefix}_energy"] = f"SELECT {key}, {py('avg_kwh_per_customer')} AS avg_kwh_per_customer, total_kwh, elec_customers FROM (" + (
+        BODY["energy_benchmark"] if prefix == "profile" else BODY["area_energy"]) + ")"
+    BODY[f"{prefix}_momentum"] = f"SELECT {key}, " + ", ".join(
+        f"{py(c)} AS {c}" for c in ["momentum_score", "biz_formation_yoy", "permit_yoy", "crime_yoy", "solar_yoy"]
+    ) + " FROM " + ("t_momentum WHERE zip_code IN (SELECT zip_code FROM t_names)" if prefix == "profile" else "t_mom_area")
+    shaped = [f"{value} AS {name}" for name, value in FIGURES.items()]
+    shaped += MONEY if prefix == "profile" else [f"{py(c)} AS {c}" for c in MONEY]
+    BODY[f"{prefix}_figures"] = f"SELECT {', '.join([key, *COUNTED, *shaped, *(['category_count'] if prefix == 'profile' else [])])} FROM {table}"
+
 ORACLE = {name: with_tables(body) for name, body in BODY.items()}

@@ -776,3 +776,20 @@ def area_profile_narratives(d):
 @query
 def area_profile_top_categories(d):
     return listed(d.answers.area_profile(), "area", "top_categories")
+
+
+def opened(nested: DataFrame, key: str, *sections: str) -> DataFrame:
+    """Struct sections of a nested profile as columns, for the keys that have the first."""
+    return nested.filter(F.col(sections[0]).isNotNull()).select(key, *[f"{section}.*" for section in sections])
+
+
+def register_sections(prefix: str, key: str, nested: Callable[[Domain], DataFrame]) -> None:
+    """The sections of the nested profiles of places or of areas, one query each."""
+    for name, section in {"crime": "crime_breakdown", "permit_timelines": "permit_timelines", "ages": "business_age"}.items():
+        REGISTRY[f"{prefix}_{name}"] = lambda spark, folder, section=section: listed(nested(Domain(spark, folder)), key, section)
+    for name, sections in {"energy": ["energy"], "momentum": ["momentum"], "figures": ["demographics", "business_landscape", "civic_signals"]}.items():
+        REGISTRY[f"{prefix}_{name}"] = lambda spark, folder, sections=sections: opened(nested(Domain(spark, folder)), key, *sections)
+
+
+register_sections("profile", KEY, lambda d: d.answers.profile())
+register_sections("area_profile", "area", lambda d: d.answers.area_profile())

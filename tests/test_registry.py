@@ -16,7 +16,7 @@ CHECKED = [
     "vs_average", "area_head_to_head", "businesses_head", "map_points_place_stored",
     "narrative", "area_narrative", "comparison_narrative", "incremental_load",
     "business_cube", "cube_extended", "formation_from_cube", "formation_trend", "age_by_place", "age_by_area",
-    "crime_detail_stored", "crime_temporal_stored",
+    "crime_detail_stored", "crime_temporal_stored", "profile_ages", "profile_figures", "area_profile_permit_timelines",
 ]
 
 
