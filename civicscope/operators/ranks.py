@@ -32,9 +32,17 @@ def to_long(
     return wide.unpivot(list(ids), list(metrics), name, "value")
 
 
-def _bounds_below(value: str, buckets: int) -> Column:
+#: Distinct values of a metric that one task puts in order.
+BUCKET_VALUES = 200_000
+#: Parts that a crowded bucket is cut into (a power of two).
+FAN_OUT = 128
+#: Crowded buckets whose bounds are broadcast (1 KB each at a fan-out of 128); beyond that none of them is a hot key.
+FEW_BUCKETS = 20_000
+
+
+def _bounds_below(value: str, parts: int) -> Column:
     """How many of the sorted ``_bounds`` are below the value, by halving steps."""
-    steps = [1 << i for i in reversed(range(buckets.bit_length() - 1))]
+    steps = [1 << i for i in reversed(range(parts.bit_length() - 1))]
 
     def take(found: Column, step: Column) -> Column:
         below = F.get(F.col("_bounds"), found + step - 1) < F.col(value)
@@ -43,25 +51,51 @@ def _bounds_below(value: str, buckets: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), take)
 
 
+def rank_buckets(
+    counts: DataFrame, metric: str, value: str, most: int = BUCKET_VALUES, fan_out: int = FAN_OUT
+) -> DataFrame:
+    """Rows of distinct (metric, value) plus ``_bucket``, which rises with the value and holds at most ``most`` of them.
+
+    A metric starts as one bucket.  Every bucket with too many values is cut between its own
+    approximate quantiles (mergeable sketches, at most ``fan_out`` numbers per bucket), the others
+    stay, until none is crowded: the number of buckets follows the distinct values, and a dense
+    range is cut again however narrow it is.  Each round settles the rows and costs a count;
+    metrics of at most ``most`` values need no round.
+    """
+    if most < 1 or fan_out < 2 or fan_out & (fan_out - 1):
+        raise ValueError("most must be positive and fan_out a power of two")
+    placed = settled(counts.withColumn("_bucket", F.lit(0).cast("bigint")))
+    shares = F.array(*[F.lit(i / fan_out) for i in range(1, fan_out)])
+    while True:
+        sizes = placed.groupBy(metric, "_bucket").agg(F.count(F.lit(1)).alias("_values"))
+        crowded = settled(sizes.filter(F.col("_values") > most).select(metric, "_bucket"))
+        found = crowded.limit(FEW_BUCKETS + 1).count()
+        if not found:
+            return placed
+        if found <= FEW_BUCKETS:
+            crowded = F.broadcast(crowded)
+        inside = placed.join(crowded, [metric, "_bucket"], "left_semi").groupBy(metric, "_bucket")
+        bounds = inside.agg(F.percentile_approx(value, shares, 10_000).alias("_bounds"))
+        if found <= FEW_BUCKETS:
+            bounds = F.broadcast(bounds)
+        part = F.when(F.col("_bounds").isNull(), 0).otherwise(_bounds_below(value, fan_out))
+        cut = placed.join(bounds, [metric, "_bucket"], "left").withColumn("_bucket", F.col("_bucket") * fan_out + part)
+        placed = settled(cut.select(*counts.columns, "_bucket"))
+
+
 def value_positions(
-    long: DataFrame, metric: str = "metric", value: str = "value", buckets: int = 128
+    long: DataFrame, metric: str = "metric", value: str = "value", most: int = BUCKET_VALUES, fan_out: int = FAN_OUT
 ) -> DataFrame:
     """Per distinct value of a metric: its ties, the rows below it and all known rows.
 
-    ``buckets`` is a power of two.  Equal values are counted first, so a value held by a third of the rows is one
-    row from here on.  Distinct values go to buckets between approximate quantiles
-    (mergeable sketches, at most ``buckets`` numbers per metric); bucket totals give
-    each bucket its start, and a window inside the bucket does the rest.  The result
-    is exact for any boundaries; the placed values are settled, so both readers see
-    the same ones.
+    Equal values are counted first, so a value held by a third of the rows is one row from
+    here on.  Distinct values go to buckets of bounded size (``rank_buckets``); bucket totals
+    give each bucket its start, and a window inside the bucket does the rest.  The result is
+    exact for any boundaries; the placed values are settled, so both readers see the same ones.
     """
     known = long.filter(F.col(value).isNotNull())
     counts = known.groupBy(metric, value).agg(F.count(F.lit(1)).alias("ties"))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = counts.groupBy(metric).agg(F.percentile_approx(value, shares, 10_000).alias("_bounds"))
-    table = bounds.agg(F.map_from_entries(F.collect_list(F.struct(metric, "_bounds"))).alias("b"))
-    placed = counts.withColumn("_bounds", F.element_at(row_of(table)["b"], F.col(metric)))
-    placed = settled(placed.withColumn("_bucket", _bounds_below(value, buckets)).drop("_bounds"))
+    placed = rank_buckets(counts, metric, value, most, fan_out)
 
     totals = placed.groupBy(metric, "_bucket").agg(F.sum("ties").alias("_rows"))
     before = W.partitionBy(metric).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -72,8 +106,8 @@ def value_positions(
         F.sum("_rows").over(W.partitionBy(metric)).alias("known"),
     )
     inside = W.partitionBy(metric, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    # One row per metric and bucket: at most metrics * buckets rows.
-    return placed.join(F.broadcast(totals), [metric, "_bucket"]).select(
+    # No hint: the join's exchange, by metric and bucket, is the one that the window needs anyway.
+    return placed.join(totals, [metric, "_bucket"]).select(
         metric,
         value,
         "ties",
@@ -89,11 +123,12 @@ def rank_long(
     metric: str = "metric",
     value: str = "value",
     salts: int = 32,
-    buckets: int = 128,
+    most: int = BUCKET_VALUES,
+    fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """Rows with a known value plus ``rank`` (ties share it) and ``of`` (known rows)."""
     known = settled(long.filter(F.col(value).isNotNull()))
-    positions = value_positions(known, metric, value, buckets)
+    positions = value_positions(known, metric, value, most, fan_out)
     hot = positions.filter(F.col("ties") * 1000 > F.col("known"))
     ranked = skew_join(known, positions, [metric, value], ids, hot.select(metric, value), salts)
     down = F.lit(descending) if isinstance(descending, bool) else descending

@@ -1,5 +1,6 @@
 """Operators against brute force and hand-computed frames."""
 
+import bisect
 import random
 
 import pytest
@@ -90,6 +91,35 @@ def test_distributed_rank_equals_sorting(spark, seed):
                 assert got[i] == (better + 1, len(known))
 
 
+def test_crowded_rank_buckets_are_cut_until_small(spark):
+    """One extremely dense range, a few far values and a hot one: no bucket over the bound, ranks exact."""
+    rng = random.Random(3)
+    dense = [1.0 + rng.randrange(1 << 20) * 2.0**-50 for _ in range(6000)]
+    values = {"a": dense + [-1e300, 5.0, 1e300] + [7.5] * 2000, "b": [float(i % 7) for i in range(50)], "c": [1.0]}
+    data = [(i, m, v) for m, listed in values.items() for i, v in enumerate(listed)]
+    frame = spark.createDataFrame(data, "id int, metric string, value double")
+    for most, fan_out in ((100, 16), (700, 128), (10_000, 128)):
+        distinct = frame.groupBy("metric", "value").count()
+        placed = ranks.rank_buckets(distinct, "metric", "value", most, fan_out)
+        found = sorted((r["metric"], r["value"], r["_bucket"]) for r in placed.collect())
+        assert [(m, v) for m, v, _ in found] == sorted({(m, v) for _, m, v in data})
+        assert all(x[2] <= y[2] for x, y in zip(found, found[1:]) if x[0] == y[0])
+        sizes = {}
+        for m, _, bucket in found:
+            sizes[m, bucket] = sizes.get((m, bucket), 0) + 1
+        assert max(sizes.values()) <= most
+        assert sum(1 for m, _ in sizes if m == "c") == 1
+        got = {(r["metric"], r["value"]): (r["below"], r["ties"], r["known"]) for r in
+               ranks.value_positions(frame, most=most, fan_out=fan_out).collect()}
+        for m, listed in values.items():
+            ordered = sorted(listed)
+            for v in set(listed):
+                low = bisect.bisect_left(ordered, v)
+                assert got[m, v] == (low, bisect.bisect_right(ordered, v) - low, len(listed))
+    with pytest.raises(ValueError):
+        ranks.rank_buckets(frame, "metric", "value", 10, 100)
+
+
 def test_percentile_formula_and_single_row(spark):
     frame = spark.createDataFrame([(i, "population", float(i)) for i in range(5)], "id int, metric string, value double")
     got = {r["id"]: r["percentile"] for r in ranks.percentiles(frame, ["id"]).collect()}
