@@ -203,7 +203,7 @@ def ranking(
     order = [By("sort_value", descending, nulls_last=True), By(key)]
     columns = [by.sort() for by in order]
     if limit is not None and limit > SMALL_HEAD:
-        head = numbered(first_rows(rows, order, limit), columns, "rank")
+        head = numbered(first_rows(rows, order, limit), columns, "rank").withColumn("rank", F.col("rank").cast("int"))
     else:
         head = ordered_head(rows, columns, limit, "rank")
     return head.withColumn("sort_metric", F.lit(metric))

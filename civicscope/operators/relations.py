@@ -163,22 +163,22 @@ SMALL_HEAD = 5_000
 
 
 def ordered_head(df: DataFrame, order: Sequence[Column], n: int | None, position: str) -> DataFrame:
-    """First n rows of the whole frame (all without n), numbered 1..n."""
+    """First n rows of the whole frame (all without n), numbered 1..n: int with a limit, else long."""
     if n is not None and n <= SMALL_HEAD:
         head = df.orderBy(*order).limit(n)
         return head.withColumn(position, F.row_number().over(W.orderBy(*order)))
     rows = numbered(df, order, position)
-    return rows if n is None else rows.filter(F.col(position) <= n)
+    return rows if n is None else rows.filter(F.col(position) <= n).withColumn(position, F.col(position).cast("int"))
 
 
 def numbered(df: DataFrame, order: Sequence[Column], position: str) -> DataFrame:
-    """All rows numbered from 1 in the given order: each range of the order in its own task."""
+    """All rows numbered from 1 (long) in the given order: each range of the order in its own task."""
     ranged = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range.
     starts = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    placed = ranged.join(F.broadcast(starts), "_range").withColumn(position, (F.col("_start") + inside).cast("int"))
+    placed = ranged.join(F.broadcast(starts), "_range").withColumn(position, F.col("_start") + inside)
     return placed.drop("_range", "_start")
 
 

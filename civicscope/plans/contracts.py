@@ -49,6 +49,7 @@ CONTRACTS = {
     "business_cube": "zip_code string, category string, status string, start_date date, n bigint",
     "business_cells": "zip_code string, category string, total_count bigint, active_count bigint, "
     "earliest_start date, latest_start date",
+    "business_sketches": "zip_code string, category string, distinct_sketch binary, start_sketch binary",
     "start_histogram": "zip_code string, category string, start_date date, n bigint",
 }
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from civicscope.operators import counts
+from civicscope.operators import counts, sketches
 from civicscope.plans.contracts import contract
 from civicscope.plans.tables import KEY
 from civicscope.sources import files
@@ -50,6 +52,26 @@ def load_new_files(
     return spark.read.schema(schema).parquet(target)
 
 
+def _extend(
+    spark: SparkSession, source: str, root: str, needed: StructType, name: str, make: Callable[[DataFrame], DataFrame], max_files: int
+) -> DataFrame | None:
+    """What ``make`` says about every batch of new files, each in ``root/name/batch=<number>``; None without files."""
+    folder = f"{root.rstrip('/')}/{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        make(batch).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={number}")
+
+    started = (
+        _arrivals(spark, source, needed, max_files)
+        .writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{root.rstrip('/')}/_seen")
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return files.read_table(spark, folder)
+
+
 def extend_cube(
     spark: SparkSession, source: str, root: str, schema: StructType, max_files: int = 1000
 ) -> DataFrame:
@@ -62,21 +84,26 @@ def extend_cube(
     is in two files counts twice.  The frame is what ``Tables`` takes as source
     ``business_cube``, or ``counts.merged_cube`` adds up; no files give an empty one.
     """
-    folder = f"{root.rstrip('/')}/cube"
-
-    def count(batch: DataFrame, number: int) -> None:
-        cube = counts.business_cube(batch, KEY)
-        cube.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch={number}")
-
     needed = StructType([field for field in schema if field.name in (KEY, "category", "status", "start_date")])
-    started = (
-        _arrivals(spark, source, needed, max_files)
-        .writeStream.foreachBatch(count)
-        .option("checkpointLocation", f"{root.rstrip('/')}/_seen")
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    found = _extend(spark, source, root, needed, "cube", lambda batch: counts.business_cube(batch, KEY), max_files)
     wanted = contract("business_cube")
-    found = files.read_table(spark, folder)
+    return spark.createDataFrame([], wanted) if found is None else found.select(*wanted.names)
+
+
+def extend_sketches(
+    spark: SparkSession, source: str, root: str, schema: StructType, distinct: str = "business_name", max_files: int = 1000
+) -> DataFrame:
+    """Sketches per (place, category) of the businesses in new files, kept under ``root`` like the cubes; all of them.
+
+    ``sketches.merged_sketches`` merges them to any coarser group.  A business in two files is one
+    distinct value, but two starts.
+    """
+    by = [KEY, "category"]
+    needed = StructType([field for field in schema if field.name in (*by, "status", "start_date", distinct)])
+
+    def make(batch: DataFrame) -> DataFrame:
+        return sketches.business_sketches(batch, by, distinct)
+
+    found = _extend(spark, source, root, needed, "sketches", make, max_files)
+    wanted = contract("business_sketches")
     return spark.createDataFrame([], wanted) if found is None else found.select(*wanted.names)

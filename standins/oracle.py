@@ -595,6 +595,18 @@ BODY = {
         ROUND(AVG(CAST(floor(o_totalprice / 1e3) AS INTEGER)), 6) AS avg_resolution_days,
         MEDIAN(CAST(floor(o_totalprice / 1e3) AS INTEGER)) AS median_resolution_days FROM orders GROUP BY 1, 2""",
     "age_by_place": "SELECT * FROM t_age_zip",
+    "distinct_rollup": """SELECT 'area' AS scope, area, COUNT(DISTINCT business_name) AS distinct_names, TRUE AS within_bound
+        FROM t_biz JOIN t_map USING (zip_code) GROUP BY area UNION ALL
+        SELECT 'city', NULL, COUNT(DISTINCT business_name), TRUE FROM t_biz""",
+    "median_rollup": " UNION ALL ".join(
+        f"""SELECT '{scope}' AS scope, {area} AS area, COUNT(*) AS business_count,
+        ROUND(MEDIAN(datediff('day', start_date, {AS_OF})) / 365.25e0, 1) AS median_age_years, TRUE AS within_bound
+        FROM t_biz {join} WHERE start_date IS NOT NULL AND status = 'active' {group}"""
+        for scope, area, join, group in [
+            ("area", "area", "JOIN t_map USING (zip_code)", "GROUP BY area"),
+            ("city", "CAST(NULL AS VARCHAR)", "", ""),
+        ]
+    ),
     "age_by_area": "SELECT * FROM t_age_area",
     "momentum": "SELECT * FROM t_momentum",
     "momentum_neutral": "SELECT zip_code, ROUND("

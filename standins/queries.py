@@ -19,14 +19,14 @@ from civicscope.functions.numbers import (
     weighted_mean,
 )
 from civicscope.functions.text import maturity, parse_date, postal_key, rank_badge
-from civicscope.operators import compare, counts, geo, trends
+from civicscope.operators import compare, counts, geo, sketches, trends
 from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
 from civicscope.plans.answers import Answers
 from civicscope.plans.build import PERIODS
 from civicscope.plans.tables import KEY, Tables, as_date, demographics
 from civicscope.sources import files, layers
-from civicscope.streaming.incremental import extend_cube, load_new_files
+from civicscope.streaming.incremental import extend_cube, extend_sketches, load_new_files
 from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PREVIOUS_YEAR, Domain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -714,6 +714,54 @@ def formation_from_cube(d):
     return Tables(given.get, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, first_year=FIRST_YEAR)["trend_business_formation"]
 
 
+def rolled_up(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Sketches of areas and of the city from stored ones per (place, category), loaded in two halves."""
+    work = work_folder(d.spark)
+    rows = d.businesses
+    late = F.year("start_date") % 2 == 0
+    for part in (rows.filter(~late), rows.filter(late)):
+        part.write.mode("append").parquet(f"{work}/businesses")
+        stored = extend_sketches(d.spark, f"{work}/businesses", f"{work}/sketched", rows.schema)
+    areas = sketches.merged_sketches(stored.join(d.tables["zip_area"], KEY), ["area"])
+    return areas, sketches.merged_sketches(stored, [])
+
+
+def scoped(areas: DataFrame, city: DataFrame) -> DataFrame:
+    told = areas.select(F.lit("area").alias("scope"), "*")
+    return told.unionByName(city.select(F.lit("city").alias("scope"), F.lit(None).cast("string").alias("area"), "*"))
+
+
+@query
+def distinct_rollup(d):
+    """Distinct business names of areas and city, exact, and whether the merged estimate is within its bound."""
+    told = sketches.estimates(scoped(*rolled_up(d)), as_date(AS_OF)).select("scope", "area", "distinct_estimate")
+    located = d.businesses.join(d.tables["zip_area"], KEY)
+    exact = scoped(
+        located.groupBy("area").agg(F.count_distinct("business_name").alias("distinct_names")),
+        d.businesses.agg(F.count_distinct("business_name").alias("distinct_names")),
+    )
+    same = (F.col("t.scope") == F.col("e.scope")) & F.col("t.area").eqNullSafe(F.col("e.area"))
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_names"))
+    within = off <= F.col("distinct_names") * sketches.distinct_bound() + 1
+    joined = exact.alias("e").join(told.alias("t"), same, "left")
+    return joined.select("e.scope", "e.area", "distinct_names", within.alias("within_bound"))
+
+
+@query
+def median_rollup(d):
+    """Median ages of areas and city, exact, and whether the merged median's rank is within its bound."""
+    areas, city = [sketches.estimates(found, as_date(AS_OF)) for found in rolled_up(d)]
+    starts = counts.start_histogram(d.businesses, [KEY])
+    located = starts.join(d.tables["zip_area"], KEY).groupBy("area", "start_date").agg(F.sum("n").alias("n"))
+    whole = starts.groupBy("start_date").agg(F.sum("n").alias("n"))
+    errors = scoped(sketches.rank_errors(located, areas, ["area"]), sketches.rank_errors(whole, city, []))
+    exact = scoped(*[counts.age_statistics(h, by, as_date(AS_OF), 1) for h, by in ((located, ["area"]), (whole, []))])
+    same = (F.col("r.scope") == F.col("e.scope")) & F.col("r.area").eqNullSafe(F.col("e.area"))
+    within = F.col("rank_error") <= sketches.rank_bound()
+    joined = exact.alias("e").join(errors.alias("r"), same, "left")
+    return joined.select("e.scope", "e.area", "business_count", "median_age_years", within.alias("within_bound"))
+
+
 @query
 def stored_job_graph(d):
     """Profiles from a job graph whose tables are written, clustered by key, and read back."""

@@ -15,7 +15,7 @@ CHECKED = [
     "competitors", "competitor_density", "nearby_all_centres", "hex_density", "dow_month_grid", "permit_timelines",
     "vs_average", "area_head_to_head", "businesses_head", "map_points_place_stored",
     "narrative", "area_narrative", "comparison_narrative", "incremental_load",
-    "business_cube", "cube_extended", "formation_from_cube", "formation_trend", "age_by_place", "age_by_area",
+    "business_cube", "cube_extended", "formation_from_cube", "distinct_rollup", "median_rollup", "formation_trend", "age_by_place", "age_by_area",
     "crime_detail_stored", "crime_temporal_stored", "profile_ages", "profile_figures", "area_profile_permit_timelines",
 ]
 
