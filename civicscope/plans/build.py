@@ -4,14 +4,15 @@
 
 The config names the inputs: ``register`` (CSV paths), ``census``, ``gazetteer``,
 ``names`` / ``areas`` / ``plans`` (CSV look-ups of the place key), ``as_of``,
-``previous_year``, ``current_year`` and ``tables`` (civic table name -> Parquet path).
+``previous_year``, ``current_year`` and ``tables`` (civic table name -> Parquet path);
+``buckets`` is optional.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,18 @@ CLUSTERED = {
     "zip_centroids": [KEY],
 }
 
+# Tables that a place's profile is put together from, all by place.
+CO_LOCATED = [
+    "neighborhood_profile",
+    "business_by_zip",
+    "business_age_stats",
+    "momentum_scores",
+    "place_percentiles",
+    "civic_crime",
+    "civic_energy",
+    "civic_permit_timelines",
+]
+
 
 class Raw:
     """Source tables of a build, read from the files a config names."""
@@ -69,15 +82,36 @@ class Raw:
         return None if paths is None else shape(files.read_text_table(self.spark, paths, sep))
 
 
-def build(spark: SparkSession, config: Mapping, target: str) -> dict[str, DataFrame]:
-    """Write every table whose inputs are present; later tables read the written ones."""
+def bucketed_parts(spark: SparkSession, get: Callable[[str], DataFrame | None], target: str, buckets: int):
+    """Source and store of a job graph in which the parts of a place's profile lie in equal buckets of the place.
+
+    Profiles are then joined and grouped bucket by bucket, without a shuffle.  The civic tables
+    among the sources are written once for it.
+    """
     write = files.parquet_store(spark, target, CLUSTERED)
+    store = files.bucketed_store(spark, target, dict.fromkeys(CO_LOCATED, KEY), buckets, write)
+
+    def source(name: str) -> DataFrame | None:
+        found = get(name)
+        return store(name, found) if found is not None and name in CO_LOCATED else found
+
+    return source, store
+
+
+def build(spark: SparkSession, config: Mapping, target: str) -> dict[str, DataFrame]:
+    """Write every table whose inputs are present; later tables read the written ones.
+
+    With ``buckets`` in the config, the parts of place profiles are written in so many buckets of the place.
+    """
+    source, write = Raw(spark, config).get, files.parquet_store(spark, target, CLUSTERED)
+    if config.get("buckets"):
+        source, write = bucketed_parts(spark, source, target, config["buckets"])
 
     def store(name: str, df: DataFrame) -> DataFrame:
         return write(name, check_contract(name, df))
 
     graph = Tables(
-        Raw(spark, config).get,
+        source,
         config["as_of"],
         config["previous_year"],
         config["current_year"],
@@ -120,11 +154,20 @@ def partition_periods(spark: SparkSession, tables: Mapping[str, str], target: st
 
 
 class StoredTables:
-    """Built tables under a folder, plus the civic tables a question may need."""
-
-    def __init__(self, spark: SparkSession, target: str, tables: Mapping[str, str] | None = None, peers: tuple[str, str] = PEERS) -> None:
+    """Built tables under a folder, plus the civic tables a question may need; ``buckets`` as in the build's config."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        target: str,
+        tables: Mapping[str, str] | None = None,
+        peers: tuple[str, str] = PEERS,
+        buckets: int | None = None,
+    ) -> None:
         self.spark = spark
         self.peers = peers
+        self.target = target.rstrip("/")
+        self.buckets = buckets
         self.paths = {name: f"{target.rstrip('/')}/{name}" for name in Tables.NAMES}
         self.paths.update({name: path for name, path in (tables or {}).items() if name in SOURCES})
         self._opened: dict[str, DataFrame | None] = {}
@@ -132,7 +175,10 @@ class StoredTables:
     def get(self, name: str) -> DataFrame | None:
         if name not in self._opened:
             path = self.paths.get(name)
-            self._opened[name] = None if path is None else files.read_table(self.spark, path)
+            if self.buckets and name in CO_LOCATED:
+                self._opened[name] = files.open_bucketed(self.spark, f"{self.target}/{name}", KEY, self.buckets)
+            else:
+                self._opened[name] = None if path is None else files.read_table(self.spark, path)
         return self._opened[name]
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -143,10 +189,14 @@ class StoredTables:
 
 
 def open_answers(
-    spark: SparkSession, target: str, tables: Mapping[str, str] | None = None, peers: tuple[str, str] = PEERS
+    spark: SparkSession,
+    target: str,
+    tables: Mapping[str, str] | None = None,
+    peers: tuple[str, str] = PEERS,
+    buckets: int | None = None,
 ) -> Answers:
     """The question layer over built tables."""
-    return Answers(StoredTables(spark, target, tables, peers))
+    return Answers(StoredTables(spark, target, tables, peers, buckets))
 
 
 def main() -> None:

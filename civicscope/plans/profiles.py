@@ -14,7 +14,7 @@ from civicscope.operators import counts
 from civicscope.operators.compare import versus_average
 from civicscope.operators.narrative import area_sentence, place_sentence
 from civicscope.operators.ranks import percentiles, to_long
-from civicscope.operators.relations import collect_top, latest, latest_row, top_n, with_row
+from civicscope.operators.relations import collect_top, latest, latest_row, row_of, top_n, with_row
 from civicscope.plans.tables import KEY, Tables
 
 # Lengths of the lists inside a profile.
@@ -92,13 +92,21 @@ def energy_benchmark(energy: DataFrame, key: str = KEY) -> DataFrame:
     return latest_row(energy, [key], "year", ["avg_kwh_per_customer", "total_kwh", "elec_customers"])
 
 
+def _with_city_rate(rows: DataFrame, city: DataFrame) -> DataFrame:
+    """The rows with their category's city rate; categories are a short list, so their rates are one map, not a join."""
+    known = city.filter(F.col("category").isNotNull())
+    table = known.agg(F.map_from_entries(F.collect_list(F.struct("category", "city_per_1k"))).alias("rates"))
+    return rows.withColumn("city_per_1k", F.try_element_at(row_of(table)["rates"], F.col("category")))
+
+
 def top_categories(tables: Tables, n: int = TOP_CATEGORIES) -> DataFrame:
     """The n largest categories per place with local and city rates per 1,000."""
     by_zip, profile = tables["business_by_zip"], tables["neighborhood_profile"]
     peopled = profile.filter(F.col("population") > 0).select(KEY, "population")
     city = counts.city_rates(by_zip, peopled, KEY)
     order = [F.col("active_count").desc(), F.col("category")]
-    rows = top_n(by_zip, [KEY], order, n, "position").join(peopled, KEY, "left").join(city, "category", "left")
+    rows = top_n(by_zip, [KEY], order, n, "position").join(peopled, KEY, "left")
+    rows = _with_city_rate(rows, city)
     local = safe_ratio(F.col("active_count") * F.lit(1000.0), F.col("population"))
     return rows.select(
         KEY,
@@ -278,7 +286,7 @@ def area_top_categories(tables: Tables, n: int = TOP_CATEGORIES) -> DataFrame:
     city = counts.city_rates(tables["business_by_zip"], tables["demographics_by_zip"], KEY)
     order = [F.col("active_count").desc(), F.col("category")]
     rows = top_n(tables["area_business_by_category"], ["area"], order, n, "position")
-    rows = rows.join(city, "category", "left")
+    rows = _with_city_rate(rows, city)
     return rows.select(
         "area",
         "position",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -186,3 +187,52 @@ def parquet_store(spark: SparkSession, root: str, keys: Mapping[str, Sequence[st
         return spark.read.schema(df.schema).parquet(path)
 
     return store
+
+
+def bucketed_name(path: str) -> str:
+    """The catalogue name of a bucketed table: it follows from the path, so every session finds the same one."""
+    return f"bucketed_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def open_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame | None:
+    """A table that ``write_bucketed`` wrote, with its layout known to the planner; None if absent.
+
+    Only the session's catalogue knows that files are buckets, so a session that did not write
+    them registers them first.
+    """
+    name = bucketed_name(path)
+    if not spark.catalog.tableExists(name):
+        plain = read_table(spark, path)
+        if plain is None:
+            return None
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(name)
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write one sorted file per bucket of ``key`` and return the table.
+
+    Joins and groups by ``key`` (alone or with more columns) over tables of the same number of buckets
+    need no shuffle.  For tables with few rows per key: a bucket is one task's work.
+    """
+    spark, name = df.sparkSession, bucketed_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    # The shuffle's hash is the one that buckets use: every task writes one whole bucket.
+    placed = df.repartition(buckets, F.col(f"`{key}`"))
+    written = placed.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", path)
+    written.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def bucketed_store(spark: SparkSession, root: str, keys: Mapping[str, str], buckets: int, plain: Callable[[str, DataFrame], DataFrame]):
+    """Store for the job graph: tables with a key in ``keys`` go to buckets of it, others to the ``plain`` store."""
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        if name not in keys:
+            return plain(name, df)
+        return write_bucketed(df, f"{root.rstrip('/')}/{name}", keys[name], buckets)
+
+    return store

@@ -859,5 +859,6 @@ for prefix, key, table in [("profile", "zip_code", "t_profile"), ("area_profile"
     shaped = [f"{value} AS {name}" for name, value in FIGURES.items()]
     shaped += MONEY if prefix == "profile" else [f"{py(c)} AS {c}" for c in MONEY]
     BODY[f"{prefix}_figures"] = f"SELECT {', '.join([key, *COUNTED, *shaped, *(['category_count'] if prefix == 'profile' else [])])} FROM {table}"
+BODY["profile_figures_bucketed"], BODY["profile_top_categories_bucketed"] = BODY["profile_figures"], BODY["profile_top_categories"]
 
 ORACLE = {name: with_tables(body) for name, body in BODY.items()}

@@ -23,11 +23,11 @@ from civicscope.operators import compare, counts, geo, sketches, trends
 from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
 from civicscope.plans import profiles
 from civicscope.plans.answers import Answers
-from civicscope.plans.build import PERIODS
+from civicscope.plans.build import PERIODS, bucketed_parts
 from civicscope.plans.tables import KEY, Tables, as_date, demographics
 from civicscope.sources import files, layers
 from civicscope.streaming.incremental import extend_cube, extend_sketches, load_new_files
-from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PREVIOUS_YEAR, Domain
+from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PEERS, PREVIOUS_YEAR, Domain
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -826,6 +826,23 @@ def area_profile_top_categories(d):
     return listed(d.answers.area_profile(), "area", "top_categories")
 
 
+def bucketed_profiles(d: Domain) -> DataFrame:
+    """Nested profiles whose parts are stored in equal buckets of the place."""
+    source, store = bucketed_parts(d.spark, d.source, work_folder(d.spark), buckets=16)
+    tables = Tables(source, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, "last", FIRST_YEAR, store, PEERS)
+    return profiles.nested_places(tables)
+
+
+@query
+def profile_figures_bucketed(d):
+    return opened(bucketed_profiles(d), KEY, "demographics", "business_landscape", "civic_signals")
+
+
+@query
+def profile_top_categories_bucketed(d):
+    return listed(bucketed_profiles(d), KEY, "top_categories")
+
+
 def opened(nested: DataFrame, key: str, *sections: str) -> DataFrame:
     """Struct sections of a nested profile as columns, for the keys that have the first."""
     return nested.filter(F.col(sections[0]).isNotNull()).select(key, *[f"{section}.*" for section in sections])

@@ -4,8 +4,10 @@ import pytest
 
 from civicscope.operators.relations import latest
 from civicscope.plans.answers import Answers
-from civicscope.plans.build import build, open_answers, partition_periods
+from civicscope.plans import profiles
+from civicscope.plans.build import CO_LOCATED, StoredTables, bucketed_parts, build, open_answers, partition_periods
 from civicscope.plans.contracts import CONTRACTS, check_contract
+from civicscope.plans.tables import Tables
 from civicscope.sources import files
 
 REGISTER = """BUSINESS ACCT#,DBA NAME,ADDRESS,ZIP,NAICS,ACTIVITY DESC,START DT,CREATION DT,EXP DT
@@ -127,3 +129,60 @@ def test_an_empty_table_by_period(spark, tmp_path):
     opened = files.write_periods(empty, str(tmp_path / "none"), "year", ["offense_group"])
     assert opened.columns == empty.columns and opened.count() == 0 and latest(opened, "year").count() == 0
     assert files.read_table(spark, str(tmp_path / "none")) is None
+
+
+def shuffles(plan):
+    """Exchanges of the main plan, without those inside one-row subqueries."""
+    return [line for line in plan.split("Subqueries")[0].splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name in settings:
+        spark.conf.unset(name)
+
+
+def test_profiles_over_equal_buckets_need_no_shuffle(spark, domain, tmp_path, no_broadcasts):
+    from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PEERS, PREVIOUS_YEAR
+
+    source, store = bucketed_parts(spark, domain.source, str(tmp_path), buckets=3)
+    graph = Tables(source, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, "last", FIRST_YEAR, store, PEERS)
+    nested = profiles.nested_places(graph)
+    plain = profiles.nested_places(domain.job_graph())
+    explained = spark._jvm.PythonSQLUtils.explainString
+    assert shuffles(explained(nested._jdf.queryExecution(), "formatted")) == []
+    assert len(shuffles(explained(plain._jdf.queryExecution(), "formatted"))) > 5
+    assert sorted(map(str, nested.collect())) == sorted(map(str, plain.collect()))
+    for name in CO_LOCATED:  # one file per bucket at most, and all rows
+        assert len(list((tmp_path / name).glob("*.parquet"))) <= 3
+        assert graph[name].count() == domain.job_graph()[name].count()
+
+
+def test_a_later_session_knows_the_buckets(spark, tmp_path, no_broadcasts):
+    rows = spark.createDataFrame([("a", 1, 1.5), ("a", 2, None), (None, 3, 2.5), ("hot", 4, 1.0)] + [("hot", 4, 1.0)] * 50, "k string, n int, `x y` double")
+    for name in ("left", "right"):
+        files.write_bucketed(rows, str(tmp_path / name), "k", 4)
+        spark.sql(f"DROP TABLE {files.bucketed_name(str(tmp_path / name))}")  # what a new session does not know
+    left, right = (files.open_bucketed(spark, str(tmp_path / name), "k", 4) for name in ("left", "right"))
+    assert sorted(map(str, left.collect())) == sorted(map(str, rows.collect()))
+    joined = left.join(right.groupBy("k").count(), "k")
+    assert shuffles(joined._jdf.queryExecution().executedPlan().toString()) == [] and joined.count() == 53
+    assert files.open_bucketed(spark, str(tmp_path / "absent"), "k", 4) is None
+    again = files.write_bucketed(rows.limit(1), str(tmp_path / "left"), "k", 4)  # replaced, not appended
+    assert again.count() == 1
+
+
+def test_a_build_with_buckets_gives_the_same_answers(spark, built, tmp_path):
+    tables, target, config = built
+    bucketed = build(spark, {**config, "buckets": 2}, str(tmp_path))
+    assert set(bucketed) == set(tables)
+    for name in tables:
+        assert sorted(map(str, bucketed[name].collect())) == sorted(map(str, tables[name].select(*bucketed[name].columns).collect()))
+    stored = StoredTables(spark, str(tmp_path), config["tables"], buckets=2)
+    assert stored["business_by_zip"].count() == tables["business_by_zip"].count() and stored.get("civic_crime") is None
+    answers = open_answers(spark, str(tmp_path), config["tables"], buckets=2)
+    assert answers.profile("92102").first()["area"] == "Other"
