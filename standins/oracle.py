@@ -859,6 +859,19 @@ for prefix, key, table in [("profile", "zip_code", "t_profile"), ("area_profile"
     shaped = [f"{value} AS {name}" for name, value in FIGURES.items()]
     shaped += MONEY if prefix == "profile" else [f"{py(c)} AS {c}" for c in MONEY]
     BODY[f"{prefix}_figures"] = f"SELECT {', '.join([key, *COUNTED, *shaped, *(['category_count'] if prefix == 'profile' else [])])} FROM {table}"
+BODY["text_files_union"] = """SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'no. ' ELSE ' ' END || o_orderkey AS code,
+    CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority,
+    CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders"""
+BODY["key_range_rows"] = f"SELECT * FROM ({BODY['text_files_union']}) WHERE TRY_CAST(trim(code) AS INTEGER) BETWEEN 100 AND 9000"
+BODY["lookup_rows"] = """SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END AS status_name,
+    COUNT(*) AS orders FROM orders GROUP BY 1, 2"""
+BODY["rows_written"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, COUNT(*) AS written, COUNT(*) AS read_back FROM {name}" for name in ["orders", "lineitem", "events"]
+)
+BODY["metrics_allowed"] = " UNION ALL ".join(
+    [f"SELECT '{name}' AS metric, COUNT({name}) AS known FROM t_profile" for name in ["population", "crime_count", "permit_valuation"]]
+    + [f"SELECT '{name}' AS metric, CAST(NULL AS BIGINT) AS known" for name in ["neighborhood", "population; DROP TABLE x"]]
+)
 BODY["profile_figures_bucketed"], BODY["profile_top_categories_bucketed"] = BODY["profile_figures"], BODY["profile_top_categories"]
 
 ORACLE = {name: with_tables(body) for name, body in BODY.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,22 @@ from civicscope.functions.numbers import (
 )
 from civicscope.functions.text import maturity, parse_date, postal_key, rank_badge
 from civicscope.operators import compare, counts, geo, sketches, trends
-from civicscope.operators.relations import complete_mapping, having_key_in, shared_folder, top_n, where_between, with_row
+from civicscope.operators.relations import (
+    complete_mapping,
+    having_key_in,
+    require_metric,
+    shared_folder,
+    top_n,
+    where_between,
+    with_row,
+)
 from civicscope.plans import profiles
 from civicscope.plans.answers import Answers
 from civicscope.plans.build import PERIODS, bucketed_parts
 from civicscope.plans.tables import KEY, Tables, as_date, demographics
 from civicscope.sources import files, layers
 from civicscope.streaming.incremental import extend_cube, extend_sketches, load_new_files
-from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PEERS, PREVIOUS_YEAR, Domain
+from standins.tables import AS_OF, CURRENT_YEAR, FIRST_YEAR, PEERS, PREVIOUS_YEAR, Domain, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -695,6 +704,67 @@ def incremental_load(d):
     return load_new_files(d.spark, f"{d.folder}/orders.parquet", f"{work}/orders", f"{work}/_seen", schema)
 
 
+def order_texts(d: Domain) -> list[str]:
+    """The orders as two text files of different layouts: codes of some unreadable, no status in the second."""
+    work = work_folder(d.spark)
+    key = F.col("o_orderkey")
+    rows = d.read("orders").select(
+        F.when(key % 10 == 3, F.concat(F.lit("no. "), text(key))).otherwise(F.concat(F.lit(" "), text(key))).alias("code"),
+        F.when(key % 7 != 0, F.col("o_orderpriority")).alias("priority"),
+        F.col("o_orderstatus").alias("status"),
+        key,
+    )
+    paths = [f"{work}/even", f"{work}/odd"]
+    for path, remainder, columns in zip(paths, (0, 1), (["code", "priority", "status"], ["priority", "code"])):
+        rows.filter(key % 2 == remainder).select(*columns).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return paths
+
+
+@query
+def text_files_union(d):
+    """All rows of text files with different layouts, matched by column name."""
+    return files.read_text_table(d.spark, order_texts(d))
+
+
+@query
+def key_range_rows(d):
+    """Rows of the text files whose code is a number within the range."""
+    return files.keep_key_range(files.read_text_table(d.spark, order_texts(d)), "code", 100, 9000)
+
+
+@query
+def lookup_rows(d):
+    """Orders per status and per name that a small look-up table gives it."""
+    names = files.lookup_table(d.spark, {"F": "finished", "O": "open"}, "o_orderstatus", "status_name")
+    # Two entries.
+    joined = d.read("orders").join(F.broadcast(names), "o_orderstatus", "left")
+    return joined.groupBy("o_orderstatus", "status_name").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query
+def rows_written(d):
+    """The count observed while each table was written, and the count of what was read back."""
+    work, found = work_folder(d.spark), []
+    for name, keys in {"orders": ["o_custkey"], "lineitem": ["l_suppkey", "l_shipdate"], "events": ["user_id"]}.items():
+        observed = files.write_sorted(d.read(name), f"{work}/{name}", keys)
+        counted = files.read_table(d.spark, f"{work}/{name}").agg(F.count(F.lit(1)).alias("read_back"))
+        found.append(counted.select(F.lit(name).alias("dataset"), F.lit(observed).cast("bigint").alias("written"), "read_back"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def metrics_allowed(d):
+    """Which metric names pass the check, and for those the places with a value."""
+    profile, told = d.tables["neighborhood_profile"], []
+    for name in ["population", "crime_count", "permit_valuation", "neighborhood", "population; DROP TABLE x"]:
+        try:
+            known = F.count(require_metric(name, fixed.RANKING_METRICS))
+        except ValueError:
+            known = F.lit(None).cast("bigint")
+        told.append(F.struct(F.lit(name).alias("metric"), known.alias("known")))
+    return profile.agg(F.array(*told).alias("told")).select(F.inline("told"))
+
+
 @query
 def cube_extended(d):
     """The cube of two halves of the businesses, the second half counted after the first; tables follow from it."""

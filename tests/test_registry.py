@@ -17,6 +17,7 @@ CHECKED = [
     "narrative", "area_narrative", "comparison_narrative", "incremental_load",
     "business_cube", "cube_extended", "formation_from_cube", "distinct_rollup", "median_rollup", "formation_trend", "age_by_place", "age_by_area",
     "crime_detail_stored", "crime_temporal_stored", "profile_ages", "profile_figures", "area_profile_permit_timelines",
+    "text_files_union", "key_range_rows", "lookup_rows", "rows_written", "metrics_allowed", "profile_figures_bucketed",
 ]
 
 
