@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 import uuid
 from collections import OrderedDict
@@ -51,11 +52,11 @@ SHARD, LEAF, FAN = 1 << 17, 1 << 18, 16
 #: Shards that a task keeps open.
 OPEN = 64
 #: Chunks that a worker remembers; distinct pairs a task holds before it passes them on.
-KEPT, HELD = 500_000, 1_500_000
-#: Chunks that are encoded as one text.
-JOINED = 64
+KEPT, HELD = 350_000, 1_500_000
+#: Chunks that are encoded as one text; chunks that are encoded and aligned at once.
+JOINED, LEARNT = 64, 8192
 #: Text bytes aligned at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Shards are picked by so many bits of the mixed pair.
 SLOTS = 1 << 16
 
@@ -82,6 +83,7 @@ class Aligner:
         return cls._own[a, b]
 
     def __init__(self, a: str, b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread would keep memory of its own
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
@@ -146,11 +148,23 @@ class Aligner:
         return ordered + alone, agree, ids
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode and align chunks that are not known yet."""
+        """Encode and align chunks that are not known yet, ``LEARNT`` at a time: the tokenizers' own objects take far more room than what is kept."""
         if not chunks:
             return
+        made = [self._aligned(chunks[k : k + LEARNT]) for k in range(0, len(chunks), LEARNT)]
+        names, numbers, shown, bounds, keys, times = zip(*made)
+        base = len(self.place)
+        self.place.update(zip(chain.from_iterable(names), range(base, base + len(chunks))))
+        self.numbers = np.concatenate([self.numbers, *numbers], axis=1)
+        self.shown = pa.concat_arrays([self.shown, *shown])
+        starts = self.ends[-1] + np.cumsum([0, *map(len, keys)])
+        self.ends = np.concatenate([self.ends, *[b + s for b, s in zip(bounds, starts.tolist())]])
+        self.pairs, self.times = np.concatenate([self.pairs, *keys]), np.concatenate([self.times, *times])
+
+    def _aligned(self, chunks: list[str]) -> tuple[list[str], np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The chunks in another order, their numbers and groups as text, where the pairs of each end, all pairs and their times."""
         new, good, ids = self._tokens(chunks)
-        count, base = len(new), len(self.place)
+        count = len(new)
         sizes = np.fromiter((len(c.encode()) for c in new), np.int64, count) * good
         last = np.cumsum(sizes)  # where each chunk ends; one whose bytes differ has no room
         ends = [np.cumsum(lengths[x]) for x, lengths in zip(ids, self.lengths)]
@@ -176,11 +190,7 @@ class Aligner:
         bounds = np.cumsum(np.bincount(chunk, minlength=count))
         links = np.bincount(of, weights=(n_in[0] * n_in[1]).astype(np.float64), minlength=count).astype(np.int64)
         numbers = np.stack([*[np.bincount(o, minlength=count) for o in owner], per, links, good])
-        self.place.update(zip(new, range(base, base + count)))
-        self.numbers = np.concatenate([self.numbers, numbers], axis=1)
-        self.shown = pa.concat_arrays([self.shown, chunk_shown])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + bounds])
-        self.pairs, self.times = np.concatenate([self.pairs, keys]), np.concatenate([self.times, times])
+        return new, numbers, chunk_shown, bounds, keys, times
 
     @staticmethod
     def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
