@@ -14,6 +14,8 @@ from civicscope.operators.relations import row_of
 DAYS_PER_YEAR = 365.25
 YOUNG_DAYS = 730
 OLD_DAYS = 3652
+#: Rows of stored cubes that one task adds up, about.
+CUBE_ROWS = 1 << 18
 
 
 def category_counts(
@@ -36,8 +38,14 @@ def business_cube(businesses: DataFrame, key: str, category: str = "category") -
 
 
 def merged_cube(cubes: DataFrame, key: str, category: str = "category") -> DataFrame:
-    """One cube from the rows of several."""
-    return cubes.groupBy(key, category, "status", "start_date").agg(F.sum("n").alias("n"))
+    """One cube from the rows of several, about ``CUBE_ROWS`` of them to a task.
+
+    Most rows are groups of their own, so a task's state is as large as what it reads: their number, not their
+    compressed bytes, decides how many tasks there are.  The rows are counted first, which is cheap for stored cubes.
+    """
+    by = [key, category, "status", "start_date"]
+    dealt = cubes.repartition(max(1, -(-cubes.count() // CUBE_ROWS)), *by)
+    return dealt.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def _number(n: str | None, condition: Column | None = None) -> Column:

@@ -765,22 +765,27 @@ def metrics_allowed(d):
     return profile.agg(F.array(*told).alias("told")).select(F.inline("told"))
 
 
-@query
-def cube_extended(d):
-    """The cube of two halves of the businesses, the second half counted after the first; tables follow from it."""
+def stored_cubes(d: Domain) -> DataFrame:
+    """The cubes of two halves of the businesses, the second half counted after the first."""
     work = work_folder(d.spark)
     rows = d.businesses
     late = F.year("start_date") % 2 == 0
     for part in (rows.filter(~late), rows.filter(late)):
         part.write.mode("append").parquet(f"{work}/businesses")
         cubes = extend_cube(d.spark, f"{work}/businesses", f"{work}/counted", rows.schema)
-    return counts.merged_cube(cubes, KEY)
+    return cubes
+
+
+@query
+def cube_extended(d):
+    """The cubes of both halves merged to one."""
+    return counts.merged_cube(stored_cubes(d), KEY)
 
 
 @query
 def formation_from_cube(d):
-    """Formation from a job graph that is given the cube and no businesses."""
-    given = {"business_cube": cube_extended(d)}
+    """Formation from a job graph that is given the cubes, as they are stored, and no businesses."""
+    given = {"business_cube": stored_cubes(d)}
     return Tables(given.get, AS_OF, PREVIOUS_YEAR, CURRENT_YEAR, first_year=FIRST_YEAR)["trend_business_formation"]
 
 

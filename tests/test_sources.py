@@ -2,6 +2,7 @@
 
 import os
 import shutil
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -137,6 +138,18 @@ def test_a_cube_of_no_files_is_empty(spark, tmp_path):
     assert cubes.count() == 0 and counts.merged_cube(cubes, KEY).columns == [KEY, "category", "status", "start_date", "n"]
 
 
+def test_cubes_are_merged_a_bounded_number_of_rows_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counts, "CUBE_ROWS", 100)
+    cube = counts.business_cube(some_businesses(spark).drop("n"), KEY)
+    for _ in range(4):
+        cube.write.mode("append").parquet(str(tmp_path / "cube"))
+    cubes = spark.read.parquet(str(tmp_path / "cube"))
+    merged = counts.merged_cube(cubes, KEY).withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter(r.task for r in merged).values()) <= 100  # some 300 groups
+    want = Counter({tuple(r)[:4]: 4 * r.n for r in cube.collect()})
+    assert Counter({tuple(r)[:4]: r.n for r in merged}) == want and len(merged) == len(want)
+
+
 def test_the_businesses_are_scanned_once(spark, tmp_path):
     some_businesses(spark).write.parquet(str(tmp_path / "register"))
     readers = {}
