@@ -10,7 +10,7 @@ the last two ids and the last id, and how often in a row they were right; order
 frequency of an id.  The chance that the favoured id comes is a mix of the three in the logistic
 domain, with weights that follow the errors; what remains goes to order 1's id if it is another
 one, then to all ids by frequency.  The result is one interval of the token for a 64-bit range
-coder.  All arithmetic is in integers, so that any machine reads what another has written.
+coder with carries, which writes 32 bits as soon as the range is shorter than 2**32.  All arithmetic is in integers, so that any machine reads what another has written.
 
 Defined cases: null text counts as empty and becomes the end id alone; null ids come first; rows
 with equal ids are ordered by text and all kept; no documents give no files and an empty result;
@@ -32,20 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from civicscope.llm.frames import column, reach, slices, spread, stored
+from civicscope.llm.frames import column, reach, slices, stored
 from civicscope.llm.tokens import PieceEncoder
 
-MAGIC = b"IDMIX001"
+MAGIC = b"IDMIX002"
 BLOCK = 2048
 #: Tokens after which a file is closed.
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 23
 #: Blocks coded side by side at most.
 LANES = 4096
-_SLICE = 12 << 20
-_U = np.uint64
-_ORDER0_BITS, _TOTAL_BITS = 20, 40
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 47)
-_SLOTS2, _SLOTS1 = 2048, 1024
+#: Text bytes whose ids are looked up at once, and steps between turns of a matrix.
+_SLICE, _TURN = 12 << 20, 64
+_ORDER0_BITS, _SLOTS2, _SLOTS1 = 20, 2048, 1024
 _MOST = 15  # of a prediction's run
 
 # stretch(p) = ln(p / (1 - p)) in 1/256, and its inverse in 1/4096
@@ -56,6 +54,20 @@ _STRETCH[0] = _STRETCH[1]
 _SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 8, 4000).astype(np.int32)
 
 
+def _number(kind: type):
+    """Makes constants: arrays without a dimension cost less than numbers in a call on few thousand values."""
+    return lambda value: np.array(value, kind)
+
+
+_I, _U, _H = _number(np.int32), _number(np.uint64), _number(np.uint16)
+_0, _4, _10, _12, _16, _ID, _STEP, _AGAIN = (_I(x) for x in (0, 4, 10, 12, 16, 0xFFFF, 0x10000, _MOST - 1))
+_ONE, _CERTAIN, _HALF_SQUASH, _ALL = (_I(x) for x in (4096, 4095, 2048, 1 << 24))
+_B_LEAST, _B_RANGE = _I(8), _I(3584 - 8)
+_FACTOR2, _FACTOR1, _3, _MASK2, _MASK1 = (_H(x) for x in (30011, 40503, 3, _SLOTS2 - 1, _SLOTS1 - 1))
+_U1, _U20, _U24, _U32, _LOW32 = (_U(x) for x in (1, 20, 24, 32, 0xFFFFFFFF))
+_LEAST, _FULL = _U(1 << 32), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def frequencies(ids: np.ndarray) -> np.ndarray:
     """Shares of 2**20 for ids 0 to the largest one; every id that occurs has one at least."""
     counts = np.bincount(ids)
@@ -69,165 +81,246 @@ def frequencies(ids: np.ndarray) -> np.ndarray:
 class Mixer:
     """The model of all lanes; the same calls in the same order when writing and reading.
 
-    A table entry holds an id and, above its 16 bits, how often in a row it was right.
+    A table entry holds an id and, above its 16 bits, how often in a row it was right; 0 is no id yet.
+    All arrays are made once, and each step writes into them.
     """
 
     def __init__(self, lanes: int, shares: np.ndarray):
         lane = np.arange(lanes)
         self.lane2, self.lane1, self.lane16, self.lane32 = lane * _SLOTS2, lane * _SLOTS1, lane * 16, lane * 32
         self.order0 = _STRETCH[np.minimum(shares >> (_ORDER0_BITS - 12), 4095)]
-        self.cumulated = np.concatenate([[0], np.cumsum(shares)])
-        self.sizes = shares
-        self.table2 = np.zeros(lanes * _SLOTS2, np.uint32)
-        self.table1 = np.zeros(lanes * _SLOTS1, np.uint32)
-        self.chance2 = np.full(lanes * 16, 1 << 11, np.int32)  # that order 2's id comes, by its run
-        self.chance1 = np.full(lanes * 32, 1 << 11, np.int32)  # by order 1's run and agreement
-        self.chance_b = np.full(lanes * 16, 1 << 10, np.int32)  # that order 1's other id comes
+        self.places = ((np.cumsum(shares) - shares).astype(np.uint64) << _U32) | shares.astype(np.uint64)
+        self.table2 = np.zeros(lanes * _SLOTS2, np.int32)
+        self.table1 = np.zeros(lanes * _SLOTS1, np.int32)
+        self.chance2 = np.tile(_I([1 << 9] + [1 << 11] * 15), lanes)  # that order 2's id comes, by its run
+        self.chance1 = np.tile(_I([8] * 2 + [1 << 11] * 30), lanes)  # by order 1's run and agreement
+        self.chance_b = np.tile(_I([8] + [1 << 10] * 15), lanes)  # that order 1's other id comes
         self.w2, self.w1, self.w0 = (np.full(lanes, w, np.int32) for w in (20_000, 20_000, 4_000))
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Favoured id, its size of 2**40; second id, its size; a size is 0 where there is no such id."""
-        self.at2 = self.lane2 + (((self.last * 40503 + self.before * 30011) >> 3) & (_SLOTS2 - 1))
-        self.at1 = self.lane1 + (self.last & (_SLOTS1 - 1))
-        self.e2, self.e1 = self.table2[self.at2], self.table1[self.at1]
-        r2, r1 = self.e2 >> 16, self.e1 >> 16
-        self.second = self.e1 & 0xFFFF
-        self.first = np.where(r2, self.e2 & 0xFFFF, self.second)
-        agree = self.second == self.first
-        self.known = (r2 | r1) > 0
-        self.c2 = self.lane16 + r2
-        self.c1 = self.lane32 + (2 * r1 + agree)
-        self.q2, self.q1 = self.chance2[self.c2], self.chance1[self.c1]
-        self.s2, self.s1, self.s0 = _STRETCH[self.q2], _STRETCH[self.q1], self.order0[self.first]
-        dot = (self.w2 * self.s2 + self.w1 * self.s1 + self.w0 * self.s0) >> 16
-        self.p = _SQUASH[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
-        size = (self.p * self.known).astype(np.int64) << (_TOTAL_BITS - 12)
-        self.other = (r1 > 0) & ~agree
-        self.cb = self.lane16 + r1
-        self.qb = self.chance_b[self.cb]
-        size_b = (((1 << _TOTAL_BITS) - size) >> 12) * (self.qb * self.other)
-        return self.first, size, self.second, size_b
+        self.last, self.before, self.h, self.g = (np.zeros(lanes, np.uint16) for _ in range(4))
+        self.at2, self.at1, self.c2, self.c1, self.cb, self.wide = (np.zeros(lanes, np.int64) for _ in range(6))
+        self.e2, self.e1, self.r2, self.r1, self.own2, self.first, self.second, self.now = (np.zeros(lanes, np.int32) for _ in range(8))
+        self.q2, self.q1, self.qb, self.s2, self.s1, self.s0, self.p, self.a, self.both, self.rest, self.x, self.y = (np.zeros(lanes, np.int32) for _ in range(12))
+        self.other, self.is_a, self.right, self.is_b, self.by0, self.mask = (np.zeros(lanes, bool) for _ in range(6))
+        self.unit, self.unit0, self.start, self.z = (np.zeros(lanes, np.uint64) for _ in range(4))
+
+    def predict(self) -> None:
+        """Favoured and second id; of 2**24: the favoured one's size a, the size of both, the rest for all ids by frequency.
+
+        The second id has no size where it is the favoured one.
+        """
+        m, x, y, h, wide = self, self.x, self.y, self.h, self.wide
+        np.multiply(m.last, _FACTOR1, h)
+        np.multiply(m.before, _FACTOR2, m.g)
+        np.add(h, m.g, h)
+        np.right_shift(h, _3, h)
+        np.bitwise_and(h, _MASK2, h)
+        np.add(m.lane2, h, m.at2)
+        np.bitwise_and(m.last, _MASK1, h)
+        np.add(m.lane1, h, m.at1)
+        m.table2.take(m.at2, None, m.e2, "clip")
+        m.table1.take(m.at1, None, m.e1, "clip")
+        np.right_shift(m.e2, _16, m.r2)
+        np.right_shift(m.e1, _16, m.r1)
+        np.bitwise_and(m.e2, _ID, m.own2)
+        np.bitwise_and(m.e1, _ID, m.second)
+        np.equal(m.e2, _0, m.mask)
+        np.multiply(m.second, m.mask, x)
+        np.bitwise_or(m.own2, x, m.first)
+        np.not_equal(m.second, m.first, m.other)
+        np.add(m.lane16, m.r2, m.c2)
+        np.add(m.lane16, m.r1, m.cb)
+        np.add(m.r1, m.r1, x)
+        np.add(x, m.other, x)
+        np.add(m.lane32, x, m.c1)
+        m.chance2.take(m.c2, None, m.q2, "clip")
+        m.chance1.take(m.c1, None, m.q1, "clip")
+        m.chance_b.take(m.cb, None, m.qb, "clip")
+        for table, key, out in ((_STRETCH, m.q2, m.s2), (_STRETCH, m.q1, m.s1), (m.order0, m.first, m.s0)):
+            wide[:] = key
+            table.take(wide, None, out, "clip")
+        np.multiply(m.w2, m.s2, x)
+        np.multiply(m.w1, m.s1, y)
+        np.add(x, y, x)
+        np.multiply(m.w0, m.s0, y)
+        np.add(x, y, x)
+        np.right_shift(x, _16, x)
+        np.add(x, _HALF_SQUASH, x)
+        wide[:] = x
+        _SQUASH.take(wide, None, m.p, "clip")
+        np.left_shift(m.p, _12, m.a)
+        np.multiply(m.qb, m.other, y)
+        np.subtract(_ONE, m.p, x)
+        np.multiply(x, y, y)
+        np.add(m.a, y, m.both)
+        np.subtract(_ALL, m.both, m.rest)
+
+    def interval(self, size: np.ndarray) -> None:
+        """Start of the interval of the ids ``now``, and its size in place of the size of the range.
+
+        ``unit`` is the size over 2**24, ``unit0`` what a share of 2**20 of the rest has.
+        """
+        m, x, y = self, self.x, self.y
+        np.greater(m.right, m.is_a, m.is_b)
+        np.equal(m.is_a, m.is_b, m.by0)
+        m.wide[:] = m.now
+        m.places.take(m.wide, None, m.z, "clip")
+        np.multiply(m.unit0, m.by0, m.unit0)
+        np.multiply(m.a, m.is_b, x)
+        np.multiply(m.both, m.by0, y)
+        np.add(x, y, x)
+        m.start[:] = x.view(np.uint32)
+        np.multiply(m.start, m.unit, m.start)
+        np.subtract(m.both, m.a, x)
+        np.multiply(x, m.is_b, x)
+        np.multiply(m.a, m.is_a, y)
+        np.add(x, y, x)
+        size[:] = x.view(np.uint32)
+        np.multiply(size, m.unit, size)
+        np.bitwise_and(m.z, _LOW32, m.unit)
+        np.multiply(m.unit, m.unit0, m.unit)
+        np.add(size, m.unit, size)
+        np.right_shift(m.z, _U32, m.z)
+        np.multiply(m.z, m.unit0, m.z)
+        np.add(m.start, m.z, m.start)
+
+    def shares(self, size: np.ndarray) -> None:
+        """Unit of a range and of its rest."""
+        np.right_shift(size, _U24, self.unit)
+        self.unit0[:] = self.rest.view(np.uint32)
+        np.multiply(self.unit0, self.unit, self.unit0)
+        np.right_shift(self.unit0, _U20, self.unit0)
 
     def update(self, ids: np.ndarray) -> None:
-        hit = ids == self.first
-        goal = hit * np.int32(4095)
-        error = (goal - self.p) * self.known
-        self.w2 += (self.s2 * error) >> 10
-        self.w1 += (self.s1 * error) >> 10
-        self.w0 += (self.s0 * error) >> 10
-        self.chance2[self.c2] = self.q2 + ((goal - self.q2) >> 4)
-        self.chance1[self.c1] = self.q1 + ((goal - self.q1) >> 4)
-        right = self.second == ids
-        tried = self.other & ~hit
-        self.chance_b[self.cb] = np.minimum(np.maximum(self.qb + (((right * np.int32(4095) - self.qb) >> 4) * tried), 8), 4000)
-        wide = ids.astype(np.uint32)
-        self.table2[self.at2] = self._learnt(self.e2, wide)
-        self.table1[self.at1] = self._learnt(self.e1, wide)
-        self.before, self.last = self.last, ids.astype(np.int64)
-
-    @staticmethod
-    def _learnt(entry: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        run = entry >> 16
-        held = entry & 0xFFFF
-        same = (held == ids) & (run > 0)
-        more = np.minimum(run + 1, _MOST)
-        return np.where(same, ids | (more << 16), np.where(run > 1, held | ((run >> 1) << 16), ids | 0x10000))
+        m, x, y, goal = self, self.x, self.y, self.both
+        np.multiply(m.is_a, _CERTAIN, goal)
+        np.subtract(goal, m.p, x)
+        for weight, s in ((m.w2, m.s2), (m.w1, m.s1), (m.w0, m.s0)):
+            np.multiply(s, x, y)
+            np.right_shift(y, _10, y)
+            np.add(weight, y, weight)
+        for chance, at, q in ((m.chance2, m.c2, m.q2), (m.chance1, m.c1, m.q1)):
+            np.subtract(goal, q, y)
+            np.right_shift(y, _4, y)
+            np.add(q, y, y)
+            chance[at] = y
+        np.multiply(m.right, _B_RANGE, y)
+        np.add(y, _B_LEAST, y)
+        np.subtract(y, m.qb, y)
+        np.right_shift(y, _4, y)
+        np.greater(m.other, m.is_a, m.mask)  # tried
+        np.multiply(y, m.mask, y)
+        np.add(y, m.qb, y)
+        m.chance_b[m.cb] = y
+        np.add(m.now, _STEP, x)  # the id after a run of one
+        for table, at, own, run in ((m.table2, m.at2, m.own2, m.r2), (m.table1, m.at1, m.second, m.r1)):
+            np.equal(own, m.now, m.mask)
+            np.minimum(run, _AGAIN, y)
+            np.multiply(y, m.mask, y)
+            np.left_shift(y, _16, y)
+            np.add(x, y, y)
+            table[at] = y
+        m.before, m.last = m.last, ids
 
 
 def encode_blocks(ids: np.ndarray, shares: np.ndarray) -> list[bytes]:
     """Codes of blocks; ids: lanes x BLOCK."""
     lanes, steps = ids.shape
     model = Mixer(lanes, shares)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out, at = np.zeros(lanes * (3 * steps + 8), "<u2"), np.arange(lanes) * (3 * steps + 8)
-    first = at.copy()
-    columns = np.ascontiguousarray(ids.T)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+    room = steps + 4  # a step settles 32 bits at most
+    out, at = np.zeros(lanes * room, "<u4"), np.arange(lanes) * room
+    first, mask = at.copy(), np.zeros(lanes, bool)
     for t in range(steps):
-        now = columns[t]
-        a, size_a, b, size_b = model.predict()
-        both = size_a + size_b
-        unit0 = ((1 << _TOTAL_BITS) - both) >> _ORDER0_BITS
-        is_a = (now == a) & (size_a > 0)
-        is_b = (now == b) & (size_b > 0)
-        start = np.where(is_a, 0, np.where(is_b, size_a, both + unit0 * model.cumulated[now]))
-        width = np.where(is_a, size_a, np.where(is_b, size_b, unit0 * model.sizes[now]))
-        unit = size >> _U(_TOTAL_BITS)
-        low += start.view(np.uint64) * unit
-        size = unit * width.view(np.uint64)
-        go = _ready(low, size)
-        while len(go):
-            out[at[go]] = low[go] >> _U(48)
-            at[go] += 1
-            low[go] <<= _U(16)
-            size[go] <<= _U(16)
-            go = go[_ready(low, size, go)]
+        if t % _TURN == 0:
+            columns = np.ascontiguousarray(ids[:, t : t + _TURN].T)
+        now = columns[t % _TURN]
+        model.now[:] = now
+        model.predict()
+        np.equal(model.now, model.first, model.is_a)
+        np.equal(model.now, model.second, model.right)
+        model.shares(size)
+        model.interval(size)
+        np.add(low, model.start, low)
+        np.less(low, model.start, mask)
+        _carry(out, at, mask.nonzero()[0])
+        np.less(size, _LEAST, mask)
+        go = mask.nonzero()[0]
+        settled, place, width = low[go], at[go], size[go]
+        out[place] = settled >> _U32
+        place += 1
+        settled <<= _U32
+        width <<= _U32
+        at[go], low[go], size[go] = place, settled, width
         model.update(now)
-    for shift in (48, 32, 16, 0):
-        out[at] = (low >> _U(shift)) & _U(0xFFFF)
+    for part in (low >> _U32, low & _LOW32):
+        out[at] = part
         at += 1
     return [out[a:b].tobytes() for a, b in zip(first.tolist(), at.tolist())]
 
 
-def _ready(low: np.ndarray, size: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
-    """Lanes whose topmost 16 bits are settled, or settled by cutting a range that became short."""
-    if of is None:
-        done = (low ^ (low + size)) < _TOP
-        short = size < _BOTTOM
-        go = np.flatnonzero(done | short)
-        cut = go[~done[go]]
-    else:
-        some, width = low[of], size[of]
-        done = (some ^ (some + width)) < _TOP
-        short = width < _BOTTOM
-        go = np.flatnonzero(done | short)
-        cut = of[go[~done[go]]]
-    if len(cut):
-        size[cut] = (_U(0) - low[cut]) & (_BOTTOM - _U(1))
-    return go
+def _carry(out: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> None:
+    """Add one to what the lanes have written."""
+    place = at[lanes] - 1
+    while len(place):
+        more = out[place] + np.uint32(1)
+        out[place] = more
+        place = place[more == 0] - 1
 
 
 def decode_blocks(codes: list[bytes], shares: np.ndarray, steps: int = BLOCK) -> np.ndarray:
     """Ids of blocks: lanes x BLOCK."""
     lanes = len(codes)
-    lengths = np.array([len(c) // 2 for c in codes])
-    data = np.zeros(int(lengths.sum()) + 8, np.uint64)
-    data[: int(lengths.sum())] = np.frombuffer(b"".join(codes), "<u2")
+    lengths = np.array([len(c) // 4 for c in codes])
+    data = np.frombuffer(b"".join(codes) + bytes(8), "<u4")
     at = np.cumsum(lengths) - lengths
-    last = len(data) - 1
     model = Mixer(lanes, shares)
     slots = np.repeat(np.arange(len(shares), dtype=np.uint16), shares)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << _U(16)) | data[np.minimum(at, last)]
-        at = at + 1
-    out = np.zeros((steps, lanes), np.uint16)
+    size = np.full(lanes, _FULL)
+    code = (data.take(at, mode="clip").astype(np.uint64) << _U32) | data.take(at + 1, mode="clip")  # less the range's start
+    at += 2
+    out, turned = np.zeros((lanes, steps), np.uint16), np.zeros((_TURN, lanes), np.uint16)
+    c, d = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+    slot, mask = np.zeros(lanes, np.uint16), np.zeros(lanes, bool)
     for t in range(steps):
-        a, size_a, b, size_b = model.predict()
-        both = size_a + size_b
-        unit0 = ((1 << _TOTAL_BITS) - both) >> _ORDER0_BITS
-        unit = np.maximum(size >> _U(_TOTAL_BITS), _U(1))  # a damaged block must not divide by 0
-        value = ((code - low) // unit).view(np.int64)
-        is_a = value < size_a
-        is_b = ~is_a & (value < both)
-        slot = np.minimum(np.maximum(value - both, 0) // unit0, (1 << _ORDER0_BITS) - 1)
-        now = np.where(is_a, a, np.where(is_b, b, slots[slot]))
-        out[t] = now
-        start = np.where(is_a, 0, np.where(is_b, size_a, both + unit0 * model.cumulated[now]))
-        width = np.where(is_a, size_a, np.where(is_b, size_b, unit0 * model.sizes[now]))
-        low += start.view(np.uint64) * unit
-        size = unit * width.view(np.uint64)
-        go = _ready(low, size)
-        while len(go):
-            code[go] = (code[go] << _U(16)) | data[np.minimum(at[go], last)]
-            at[go] += 1
-            low[go] <<= _U(16)
-            size[go] <<= _U(16)
-            go = go[_ready(low, size, go)]
+        model.predict()
+        model.shares(size)
+        c[:] = model.a.view(np.uint32)
+        np.multiply(c, model.unit, c)
+        np.less(code, c, model.is_a)
+        c[:] = model.both.view(np.uint32)
+        np.multiply(c, model.unit, c)
+        np.less(code, c, model.right)
+        np.subtract(code, c, c)
+        np.maximum(model.unit0, _U1, d)  # a damaged block must not divide by 0
+        np.floor_divide(c, d, c)
+        slots.take(c.view(np.int64), None, slot, "clip")
+        np.greater(model.right, model.is_a, model.is_b)
+        np.logical_not(model.right, mask)
+        np.multiply(model.first, model.is_a, model.x)
+        np.multiply(model.second, model.is_b, model.y)
+        np.add(model.x, model.y, model.x)
+        np.multiply(slot, mask, slot)
+        np.add(model.x, slot, model.now)
+        now = turned[t % _TURN]
+        now[:] = model.now
+        np.equal(model.now, model.first, model.is_a)
+        np.equal(model.now, model.second, model.right)
+        model.interval(size)
+        np.subtract(code, model.start, code)
+        np.less(size, _LEAST, mask)
+        go = mask.nonzero()[0]
+        value, place, width = code[go], at[go], size[go]
+        value <<= _U32
+        value |= data.take(place, mode="clip")
+        place += 1
+        width <<= _U32
+        code[go], at[go], size[go] = value, place, width
         model.update(now)
-    return out.T
+        if t % _TURN == _TURN - 1 or t == steps - 1:
+            a = t - t % _TURN
+            out[:, a : t + 1] = turned[: t + 1 - a].T
+            model.before, model.last = model.before.copy(), model.last.copy()  # their rows are written again
+    return out
 
 
 def dump(keys: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -283,6 +376,18 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold a number of bytes: repeated words are looked up once for all."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write token files in ascending order of id; (file, n_docs, n_tokens, n_bytes) of each.
 
@@ -314,7 +419,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_id"
             keys, lengths, parts, held, number = [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(data)], pa.int64())], names=["file", "n_docs", "n_tokens", "n_bytes"])
 
-        for whole in batches:
+        for whole in _gathered(batches, _SLICE):
             for batch in slices(whole, "text", _SLICE):
                 offsets, ids = encoder.encode(column(batch, "text"))
                 n = np.diff(offsets) + 1
@@ -322,7 +427,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_id"
                 full = np.full(int(ends[-1]), end_id, np.uint16)
                 if len(ids) and int(ids.max()) > 0xFFFF:
                     raise ValueError("ids above 65535 do not fit this format")
-                full[spread(ends - n, n - 1)] = ids
+                inside = np.ones(len(full), bool)
+                inside[ends - 1] = False
+                full[inside] = ids
                 a = 0
                 while a < len(n):  # documents stay whole
                     b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + file_tokens - held, side="right")))

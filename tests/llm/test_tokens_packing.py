@@ -1,3 +1,4 @@
+import pickle
 import zlib
 from itertools import combinations
 
@@ -27,6 +28,34 @@ def test_pieces_encode_like_whole_texts(some, keeps_space):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x.tolist() for x in encoder.whole(some)]
 
 
+words = st.lists(st.sampled_from(["the", "Öl", "çon", "x", "12", "½", "ß", "Ж", "it's", "a's,", "...", "!?", ",", "$%", "-", "\n", "\n\n", "\x1f", "\x00", "\u0378", "×,", "é.", "Ǝ;", "<s>", " "]), max_size=6).map("".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(words, max_size=12).map(" ".join), max_size=8), st.sampled_from([3, 50]))
+def test_units_encode_like_whole_texts(some, kept):
+    encoder = PieceEncoder(BYTE, True, kept)
+    encoder._tokenizer = ENCODERS[True]._load()
+    for part in (some, some[::2], some):  # known and forgotten units
+        offsets, ids = encoder.encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x.tolist() for x in encoder.whole(part)]
+
+
+def test_tokens_over_cuts_are_noticed():
+    encoder = PieceEncoder(BYTE, True)
+    encoder._load()
+    encoder._sizes = np.full(100_000, 7)
+    assert encoder.encode(pa.array(["one two three"]))[1].tolist() == encoder.whole(["one two three"])[0].tolist()
+
+
+def test_tasks_of_a_worker_share_known_words(monkeypatch):
+    one, other = (pickle.loads(pickle.dumps(PieceEncoder(BYTE, True))) for _ in range(2))
+    want = one.whole(["words, known words\nto all"])[0].tolist()
+    one.encode(pa.array(["words all known words, to words\nto"]))
+    monkeypatch.setattr(other, "_load", None)  # nothing goes through the tokenizer again
+    assert other.encode(pa.array(["words, known words\nto all"]))[1].tolist() == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_best_two_fit_places_all_once(lengths):
@@ -115,6 +144,21 @@ def test_coder_learns_and_detects_damage():
         range_coder.load(bytes(broken))
 
 
+def test_carries_run_through():
+    out = np.array([5, 0xFFFFFFFF, 0xFFFFFFFF, 9, 7, 0], np.uint32)
+    range_coder._carry(out, np.array([3, 5]), np.array([0, 1]))
+    assert out.tolist() == [6, 0, 0, 9, 8, 0]
+
+
+def test_coder_round_trip_of_many_blocks():
+    rng = np.random.default_rng(7)
+    ids = np.where(rng.random((40, range_coder.BLOCK)) < 0.5, 7, rng.zipf(1.3, (40, range_coder.BLOCK)) % 50_000).astype(np.uint16)
+    ids[:8] = 0
+    ids[8:16] = rng.integers(0, 3, (8, range_coder.BLOCK))
+    shares = range_coder.frequencies(ids.ravel())
+    assert np.array_equal(range_coder.decode_blocks(range_coder.encode_blocks(ids, shares), shares), ids)
+
+
 def test_blocks_are_independent():
     ids = np.random.default_rng(1).integers(0, 500, (5, range_coder.BLOCK)).astype(np.uint16)
     shares = range_coder.frequencies(ids.ravel())
